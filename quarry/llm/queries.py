@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, shards, urls
+from . import decontaminate, html, langid, mixing, quality, secrets, shards, urls
 from .common import table
 
 
@@ -15,6 +15,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that every document leaks."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of distribution divergence for every document."""
     return quality.judge(table(spark, sf_dir, "documents"))
@@ -30,11 +40,16 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.articles(table(spark, sf_dir, "pages"))
+
+
 def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page."""
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix_sources, op6_quality_rules, op7_shard_tree, op8_secret_ledger, op10_url_digests)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix_sources, op3_language_id, op5_benchmark_tiles, op6_quality_rules, op7_shard_tree, op8_secret_ledger, op9_text_density, op10_url_digests)}
 
 ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op10_url_digests": urls.ORACLE}
