@@ -114,3 +114,56 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
             if i % 4 == 0:
                 out ^= out >> np.uint64(29)
         return mix(out)
+
+
+#: A key is hot from so many rows on, and never are more than HOT_KEYS keys; a hot key's rows are dealt to SALTS tasks.
+HOT_ROWS, HOT_KEYS, SALTS = 200, 10_000, 64
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """Join a settled table with one that has a row or few for each key, dealing out the rows of hot keys.
+
+    Hot keys are those with HOT_ROWS rows or, in large tables, the HOT_KEYS-th part of all; so they are few enough to
+    send everywhere. Rows of a hot key on the left go to SALTS tasks by a hash of ``spread``, and the key's rows on
+    the right to each of these.
+    """
+    least = max(HOT_ROWS, left.count() // HOT_KEYS + 1)
+    keys = left.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n").dropna().collect()
+    if not keys:
+        return left.join(right, on, how)
+    schema = left.select(*on).schema
+    hot = F.broadcast(left.sparkSession.createDataFrame(keys, schema).withColumn("__hot", F.lit(True)))
+    many = left.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("__hot")
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    few = right.join(hot, on, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    return many.join(few, [*on, "__salt"], how).drop("__salt")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of all ends of edges (a, b), the component being the least id that is reachable.
+
+    Alternates large stars and small stars: each node's greater neighbours, then its lesser ones, are tied to the
+    least node of its neighbourhood, until nothing changes. The edges never become more.
+    """
+
+    def stars(e: DataFrame, least: DataFrame) -> DataFrame:
+        return skew_join(e, least, ["u"], ["v"])
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = state(e)
+    while before[0]:
+        both = settle(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = settle(stars(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        tied = stars(large, least)
+        e = settle(tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = state(e)
+        if now == before:
+            break
+        before = now
+    roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return settle(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))

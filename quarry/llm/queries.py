@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, langid, mixing, quality, secrets, shards, urls
+from . import decontaminate, html, langid, mixing, quality, secrets, shards, substrings, urls
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeated windows cover."""
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that every document leaks."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -50,6 +55,6 @@ def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix_sources, op3_language_id, op5_benchmark_tiles, op6_quality_rules, op7_shard_tree, op8_secret_ledger, op9_text_density, op10_url_digests)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix_sources, op3_language_id, op4_substring_parse, op5_benchmark_tiles, op6_quality_rules, op7_shard_tree, op8_secret_ledger, op9_text_density, op10_url_digests)}
 
 ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op10_url_digests": urls.ORACLE}
