@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, langid, mixing, quality, secrets, shards, substrings, urls
+from . import decontaminate, html, langid, mixing, neardup, quality, secrets, shards, substrings, urls
 from .common import table
 
 
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return neardup.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -55,6 +60,6 @@ def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix_sources, op3_language_id, op4_substring_parse, op5_benchmark_tiles, op6_quality_rules, op7_shard_tree, op8_secret_ledger, op9_text_density, op10_url_digests)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hyperminhash, op2_mix_sources, op3_language_id, op4_substring_parse, op5_benchmark_tiles, op6_quality_rules, op7_shard_tree, op8_secret_ledger, op9_text_density, op10_url_digests)}
 
 ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op10_url_digests": urls.ORACLE}
