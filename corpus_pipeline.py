@@ -4,14 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import mixing, quality, shards
-from quarry.llm.common import settle
-
-STAGES = [
-    ("quality", lambda spark, docs, sf_dir: quality.keep(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixing.emit(docs)),
-    ("sharding", lambda spark, docs, sf_dir: shards.assign(docs)),
-]
+from quarry.llm import decontaminate, mixing, neardup, quality, shards
+from quarry.llm.common import settle, table
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what the quality rules keep."""
+    return quality.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each component: five words, similarity 0.8."""
+    return neardup.dedup(docs, neardup.STAGE)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what leaks no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the mix of sources says."""
+    return mixing.emit(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document taken."""
+    return shards.assign(docs)
+
+
+STAGES = [("quality", rules), ("neardup", near_duplicates), ("decontaminate", leaks), ("mix", mix), ("shard", shard)]
 
 #: SQL can express neither the distances nor the hashed draws; tests hold the stages against brute force.
 ORACLE_SQL = None
