@@ -128,8 +128,12 @@ FILES = """files AS (
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review events: subject, effect, revision and weight keys."""
-    e = read(spark, sf_dir, "events")
-    return e.select(
+    return as_reviews(read(spark, sf_dir, "events"))
+
+
+def as_reviews(events: DataFrame) -> DataFrame:
+    """Events, in a batch or a stream, as review events."""
+    return events.select(
         "event_id",
         F.col("user_id").alias("subject"),
         F.when(F.col("event_type") == "purchase", "approve").when(F.col("event_type") == "error", "reject").otherwise("none").alias("effect"),
