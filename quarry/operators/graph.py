@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.lineage import cut
+
 
 def directed(edges: DataFrame) -> DataFrame:
     """Each edge seen from both ends: node, other, predicate and direction."""
@@ -40,7 +42,7 @@ def expand(edges: DataFrame, roots: DataFrame, follow: list[str], depth: int) ->
     frontier = seen
     for d in range(1, depth + 1):
         reached = frontier.join(steps, "at").select("root", F.col("dst").alias("at")).distinct()
-        frontier = reached.join(seen, ["root", "at"], "left_anti").withColumn("depth", F.lit(d))
+        frontier = cut(reached.join(seen, ["root", "at"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0").select("root", F.col("at").alias("node"), "depth", F.pow(F.lit(0.5), F.col("depth") - 1).alias("weight"))
 
@@ -54,7 +56,7 @@ def closure(references: DataFrame, known: DataFrame, roots: DataFrame, depth: in
     frontier = seen
     for d in range(1, depth + 2):
         reached = frontier.join(references, "key").select(F.col("target").alias("key")).distinct()
-        frontier = reached.join(seen, "key", "left_anti").withColumn("depth", F.lit(d))
+        frontier = cut(reached.join(seen, "key", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     there = known.select("key").distinct().withColumn("__there", F.lit(True))
     state = F.when(F.col("depth") > depth, "capped").when(F.col("__there"), "resolved").otherwise("unresolved")
@@ -93,7 +95,7 @@ def label_communities(edges: DataFrame, rounds: int) -> DataFrame:
     labels = both.select("node", F.col("node").alias("label")).distinct()
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.count("*").alias("n"))
-        labels = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label").alias("label"))).alias("best")).select("node", F.col("best.label").alias("label"))
+        labels = cut(votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label").alias("label"))).alias("best")).select("node", F.col("best.label").alias("label")))
     return labels
 
 

@@ -163,3 +163,54 @@ def test_sinks(spark, tmp_path):
 def test_outbox_backs_off(spark):
     rows = spark.sql("select * from values (1, 0, null, false), (2, 3, timestamp'2024-01-01 00:00:00', false), (3, 3, timestamp'2024-01-01 00:00:09', false), (4, 5, null, false), (5, 1, null, true) as t(event_id, attempts, last_try, acked)")
     assert [r.state for r in events.outbox(rows, "2024-01-01 00:00:10").orderBy("event_id").collect()] == ["send", "send", "wait", "dead", "done"]
+
+
+def test_extent_similarity_is_the_best_of_all_runs():
+    from quarry.operators.search import extent_similarity
+
+    def grams(s):
+        return [f"  {w} "[i : i + 3] for w in re.findall(r"\w+", s.lower()) for i in range(len(w) + 1)]
+
+    for query, text in [("word", "two words"), ("red ring", "a red shiny rings"), ("abc", ""), ("", "abc"), ("zzz", "abc"), ("ring", "ringing ring")]:
+        want, have = set(grams(query)), grams(text)
+        best = max((len(want & set(have[i:j])) / len(want | set(have[i:j])) for i in range(len(have)) for j in range(i + 1, len(have) + 1) if want & set(have[i:j])), default=0.0) if want else 0.0
+        assert abs(extent_similarity(query, text) - best) < 1e-12
+
+
+def test_questions_are_parsed_on_the_driver():
+    from quarry.operators.search import parse
+
+    got = parse("Show doors on 3F near machine room", {"doors": "IfcDoor"}, {"machine room": "plant"})
+    assert got.storey == "3F"
+    assert got.kind == "IfcDoor"
+    assert got.terms == ("show", "on", "near", "plant")
+
+
+def test_reembedding_takes_each_new_text_once(spark):
+    from quarry.operators import knowledge
+
+    objects = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "object_id long, text string")
+    known = spark.createDataFrame([("b",)], "text string").select(F.sha2("text", 256).alias("content_hash"))
+    fresh, mapping = knowledge.reembed(objects, known, lambda texts: [[float(len(t))] for t in texts])
+    assert [list(r.embedding) for r in fresh.collect()] == [[1.0]]
+    assert mapping.count() == 3
+
+
+def test_names_that_are_unknown_or_taken_raise():
+    from quarry.operators import knowledge
+
+    with pytest.raises(ValueError, match="bucket"):
+        knowledge.in_bucket("state", "maybe")
+    knowledge.plugin("x")(len)
+    with pytest.raises(ValueError, match="taken"):
+        knowledge.plugin("x")(len)
+    del knowledge.REGISTRY["x"]
+
+
+def test_nothing_outside_the_subpackage_imports_it():
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1] / "quarry"
+    for path in root.rglob("*.py"):
+        if path.relative_to(root).parts[0] != "llm":
+            assert "llm" not in path.read_text()
