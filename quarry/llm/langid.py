@@ -44,7 +44,10 @@ _LETTER = _letters()
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Cells of a text's n-grams and how often each occurs; empty without a letter."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _LETTER[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+    letter = _LETTER[np.minimum(points, 0xFFFF)]
+    if (high := points > 0xFFFF).any():
+        kinds, at = np.unique(points[high], return_inverse=True)
+        letter[high] = np.array([chr(c).isalpha() for c in kinds])[at]
     if not letter.any():
         return np.empty(0, np.int32), np.empty(0, np.int32)
     points = np.where(letter, points, _SPACE)

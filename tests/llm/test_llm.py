@@ -194,6 +194,12 @@ def test_language_is_learned_and_held_out(spark, docs, rows):
     assert {r.lang_pred for r in odd} <= {"en", "de", "fr", "und"}
 
 
+def test_only_letters_speak():
+    assert len(langid.grams("\U0001f600 12 !")[0]) == 0
+    assert len(langid.grams("\U00020000")[0]) > 0
+    assert len(langid.grams(None)[0]) == 0
+
+
 def test_held_out_labels_are_not_learned(spark):
     rows = [(i, "abc def", "good" if zlib.crc32(str(i).encode()) % 4 != 2 else "bad") for i in range(80)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
