@@ -191,11 +191,25 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return settle(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
 
 
-def _crossing(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs across components in settled buckets (key, id, component, least) that pass the estimate.
+def _packed(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
+    """(id, packed): the sets of some documents as sorted 32-bit hashes, made from their whole texts."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in parts:
+            sets = [np.sort((shingles(text, rule.words, hashes) & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for text in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "packed"])
+
+    return docs.join(small(ids, 24), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, packed binary").dropDuplicates(["id"])
+
+
+def _crossing(rows: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Linked pairs across components in settled buckets (key, band, id, component, least).
 
     Members stand in order of component, in blocks. Blocks of one and the same component are not held against each
-    other; pairs with the bucket's least class were tested before.
+    other; pairs with the bucket's least class were tested before, and a pair is tested in the first band that it
+    shares. What passes the estimate is counted on the sets in the same task, so that of a large group without
+    links no pairs are listed.
     """
     order = Window.partitionBy("key").orderBy("component", "id")
     numbered = settle(rows.withColumn("block", ((F.row_number().over(order) - 1) / BLOCK).cast("int")))
@@ -204,22 +218,35 @@ def _crossing(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     tasks = left.join(right, "key").where("block_i <= block_j and not (low_i = high_i and low_j = high_j and low_i = low_j)")
     tasks = settle(tasks.select("key", "block_i", "block_j"))
     wanted = tasks.select("key", "block_i", "block_j", F.col("block_i").alias("block")).unionByName(tasks.where("block_i < block_j").select("key", "block_i", "block_j", F.col("block_j").alias("block")))
-    members = skew_join(settle(numbered.join(classes.select("id", "n", "regs"), "id")), wanted, ["key", "block"], ["id"])
+    sets = _packed(docs, settle(rows.select(F.col("id").alias("doc_id")).distinct()), rule)
+    held = settle(classes.select("id", "n", "regs").join(sets, "id"))
+    members = skew_join(numbered, wanted, ["key", "block"], ["id"]).join(held, "id")
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, n, least, block = (table.column(c).to_numpy() for c in ("id", "component", "n", "least", "block"))
         regs = _grid(table.column("regs").combine_chunks())
-        i, j = table.column("block_i")[0].as_py(), table.column("block_j")[0].as_py()
-        rows_i, rows_j = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        packed = [np.frombuffer(x, np.uint32) for x in table.column("packed").to_pylist()]
+        i, j, band = (table.column(c)[0].as_py() for c in ("block_i", "block_j", "band"))
+        rows_i, rows_j = np.flatnonzero((block == i) & (ids != least)), np.flatnonzero((block == j) & (ids != least))
         a, b = [], []
         for x in rows_i:
-            ys = rows_j[(comp[rows_j] != comp[x]) & (ids[rows_j] != least[x])] if ids[x] != least[x] else rows_j[:0]
+            ys = rows_j[comp[rows_j] != comp[x]]
             if i == j:
                 ys = ys[ids[ys] > ids[x]]
-            if len(ys):
-                ok = ys[near(rule, np.broadcast_to(regs[x], (len(ys), BUCKETS)), regs[ys], np.full(len(ys), n[x]), n[ys])]
-                a += np.minimum(ids[ok], ids[x]).tolist()
-                b += np.maximum(ids[ok], ids[x]).tolist()
+            if not len(ys):
+                continue
+            before = (regs[ys, : band * rule.rows] == regs[x, : band * rule.rows]).reshape(len(ys), band, rule.rows).all(2).any(1)
+            ys = ys[~before]
+            ys = ys[near(rule, np.broadcast_to(regs[x], (len(ys), BUCKETS)), regs[ys], np.full(len(ys), n[x]), n[ys])]
+            if not len(ys):
+                continue
+            others = np.concatenate([packed[y] for y in ys])
+            at = np.minimum(np.searchsorted(packed[x], others), len(packed[x]) - 1)
+            sizes = np.array([len(packed[y]) for y in ys])
+            both = np.add.reduceat((packed[x][at] == others).astype(np.int64), np.cumsum(sizes) - sizes)
+            ok = ys[100 * both >= rule.percent * (len(packed[x]) + sizes - both)]
+            a += np.minimum(ids[ok], ids[x]).tolist()
+            b += np.maximum(ids[ok], ids[x]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return members.groupBy("key", "block_i", "block_j").applyInArrow(run, "a long, b long")
@@ -250,8 +277,8 @@ def duplicates(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     classes = settle(named.where("n > 0").join(leaders, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "regs").dropDuplicates(["id"]))
 
     width = 2 * rule.rows
-    band = F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(rule.bands))))
-    bands = settle(classes.select("id", band.alias("key")))
+    band = F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(rule.bands))))
+    bands = settle(classes.select("id", band.alias("band", "key")))
     shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("least")).where("members > 1")
     buckets = settle(skew_join(bands, shared, ["key"], ["id"]))
     pairs = settle(buckets.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
@@ -259,11 +286,11 @@ def duplicates(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     edges = verified(passed, rows, rule)
     tied = components(edges)
 
-    wide = settle(buckets.where("members > 2").select("key", "id", "least"))
+    wide = settle(buckets.where("members > 2").select("key", "band", "id", "least"))
     placed = settle(wide.join(tied, "id", "left").withColumn("component", F.coalesce("component", "id")))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_rows = settle(skew_join(placed, mixed, ["key"], ["id"]))
-    crossing = settle(_crossing(open_rows, classes, rule).distinct())
+    crossing = settle(_crossing(open_rows, classes, rows, rule).distinct())
     if not crossing.isEmpty():
         edges = settle(edges.unionByName(verified(crossing, rows, rule)))
         tied = components(edges)
