@@ -10,14 +10,13 @@ from quarry.operators.temporal import half_open
 from quarry.registry import query
 from quarry.sources import concepts as c
 
-AT = F.lit("1998-01-01").cast("timestamp_ntz")
 
 
 @query(c.with_(c.RELATIONS, c.EVIDENCE) + """SELECT relation_id, src, dst FROM relations WHERE state IN ('human_verified', 'machine_verified') AND valid_from <= TIMESTAMP '1998-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1998-01-01')
 AND custkey % 2 = 0 AND EXISTS (SELECT 1 FROM evidence e WHERE e.relation_id = relations.relation_id AND e.state IN ('human_verified', 'machine_verified'))""")
 def scoped_secure_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified relations of a project, in force, with verified evidence."""
-    return op.secure_view(c.relations(spark, sf_dir), c.evidence(spark, sf_dir), half_open(AT), F.col("custkey") % 2 == 0).select("relation_id", "src", "dst")
+    return op.secure_view(c.relations(spark, sf_dir), c.evidence(spark, sf_dir), half_open(F.lit("1998-01-01").cast("timestamp_ntz")), F.col("custkey") % 2 == 0).select("relation_id", "src", "dst")
 
 
 @query(c.with_(c.STRUCTURE) + """, private AS (SELECT 'customer:' || c_custkey AS key FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT 'nation:7') SELECT src, predicate, dst FROM structure WHERE src NOT IN (SELECT key FROM private) AND dst NOT IN (SELECT key FROM private)""")

@@ -27,7 +27,7 @@ def review_vote_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(c.with_(c.RELATIONS, c.REVIEWS, LATEST, LEDGER) + """, scored AS (
-  SELECT relation_id, valid_from, CASE WHEN relation_id % 11 <> 0 THEN least(1.0, greatest(0.0, confidence)) * coalesce(greatest(750, least(1250, 1000 + 50 * net)), 1000) / 1000 END AS score
+  SELECT relation_id, valid_from, CASE WHEN relation_id % 11 <> 0 THEN least(1.0, greatest(0.0, confidence)) * CASE WHEN net IS NULL THEN 1000 ELSE greatest(750, least(1250, 1000 + 50 * net)) END / 1000 END AS score
   FROM relations LEFT JOIN ledger ON weight_key = 'user:' || (relation_id % 10) WHERE state = 'unverified')
 SELECT relation_id, round(least(1.0, score), 3) AS reported, row_number() OVER (ORDER BY score DESC NULLS FIRST, valid_from, relation_id) AS place FROM scored ORDER BY place LIMIT 100""")
 def review_queue_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

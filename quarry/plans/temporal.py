@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import temporal as op
@@ -10,7 +10,10 @@ from quarry.registry import query
 from quarry.sources import concepts as c
 
 AT = "1998-01-01"
-INSTANT = F.lit(AT).cast("timestamp_ntz")
+
+
+def _instant() -> Column:
+    return F.lit(AT).cast("timestamp_ntz")
 
 
 @query(c.with_(c.RELATIONS) + f"""
@@ -19,7 +22,7 @@ FROM relations r JOIN customer e ON r.custkey = e.c_custkey JOIN orders o ON r.r
 WHERE (valid_from IS NULL OR valid_from <= TIMESTAMP '{AT}') AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AT}') GROUP BY 1, 2""")
 def temporal_edge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges valid at an instant with both ends, by type and state."""
-    r = op.as_of(c.relations(spark, sf_dir), INSTANT)
+    r = op.as_of(c.relations(spark, sf_dir), _instant())
     ends = c.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_nationkey")
     orders = c.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("relation_id"))
     return r.join(orders, "relation_id").join(ends, "custkey").groupBy("relation_type", "state").agg(
@@ -32,7 +35,7 @@ SELECT relation_id, src, dst, state, confidence, valid_from, valid_to FROM relat
 WHERE (valid_from IS NULL OR valid_from <= TIMESTAMP '{AT}') AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AT}')""")
 def relations_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations valid at an instant, half-open."""
-    return op.as_of(c.relations(spark, sf_dir), INSTANT).select("relation_id", "src", "dst", "state", "confidence", "valid_from", "valid_to")
+    return op.as_of(c.relations(spark, sf_dir), _instant()).select("relation_id", "src", "dst", "state", "confidence", "valid_from", "valid_to")
 
 
 @query(c.with_(c.ENTITIES, c.STRUCTURE) + """, first AS (SELECT entity_key FROM entities WHERE entity_type <> 'part' ORDER BY entity_type DESC, entity_key LIMIT 500)
@@ -77,4 +80,4 @@ SELECT relation_id, CASE WHEN valid_to <= TIMESTAMP '1998-01-01' THEN false WHEN
 def undecidable_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-valued validity where every fifth start is unknown."""
     r = c.relations(spark, sf_dir).withColumn("valid_from", F.when(F.col("relation_id") % 5 != 0, F.col("valid_from")))
-    return r.select("relation_id", op.decidable(INSTANT, "valid_from", "valid_to").alias("valid"))
+    return r.select("relation_id", op.decidable(_instant(), "valid_from", "valid_to").alias("valid"))

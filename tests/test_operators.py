@@ -214,3 +214,13 @@ def test_nothing_outside_the_subpackage_imports_it():
     for path in root.rglob("*.py"):
         if path.relative_to(root).parts[0] != "llm":
             assert "llm" not in path.read_text()
+
+
+def test_the_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[-1]) > 100
