@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -20,6 +21,7 @@ BROADCAST_BYTES = 32 << 20
 MASK = (1 << 64) - 1
 
 _written: list[tuple[SparkSession, str]] = []
+_released = [0.0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,12 +53,20 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _release(spark)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _release(spark: SparkSession) -> None:
+    """Let shuffle files of finished steps go: Spark drops them when the driver's JVM collects their plans."""
+    if time.monotonic() - _released[0] > 3:
+        spark.sparkContext._jvm.System.gc()
+        _released[0] = time.monotonic()
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, WordHashes, batches, settle, skew_join, window_hashes
@@ -100,38 +100,50 @@ def _with_texts(docs: DataFrame, marks: DataFrame, row_bytes: int, how: str) ->
     return docs.join(F.broadcast(marks) if row_bytes <= BROADCAST_BYTES else marks, "rid", how)
 
 
+def _runs(rows: DataFrame) -> DataFrame:
+    """(rid, runs): stretches of windows (rid, first, last) that touch, merged, as first << 32 | last.
+
+    Windows and groups are all of one document, so rows move once.
+    """
+    order = Window.partitionBy("rid").orderBy("first", "last")
+    end = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = rows.withColumn("new", F.coalesce(F.col("first") > end + 1, F.lit(True)).cast("int"))
+    numbered = begun.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = numbered.groupBy("rid", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return merged.groupBy("rid").agg(F.collect_list(F.shiftleft("first", 32).bitwiseOR(F.col("last"))).alias("runs"))
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    """(rid, starts): for documents (rid, text) with duplicates, runs of duplicated windows as first << 16 | more << 8."""
+    """(rid, runs): for documents (rid, text) with duplicates, runs of duplicated windows as first << 32 | last."""
     found = settle(index(docs))
-    refs = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("block") != F.max("block")).alias("varied")).where("n > 1")
-    near = settle(skew_join(found, refs.drop("n"), ["anchor"], ["rid", "pos"]))
+    refs = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    near = settle(skew_join(found, refs, ["anchor"], ["rid", "pos"]))
     own = F.xxhash64("rid", "pos")
-    whole = near.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(own).alias("chosen")).where("n > 1").drop("n")
-    judged = skew_join(near, whole, ["anchor", "block"], ["rid", "pos"], "left")
-    marks = settle(
-        judged.groupBy("rid").agg(
-            F.collect_list(F.when(F.col("chosen").isNotNull(), F.col("pos"))).alias("dup"),
-            F.collect_list(F.when(F.col("chosen").isNull() & F.col("varied"), F.col("pos"))).alias("single"),
-            F.collect_list(F.when((F.col("chosen") == own) & F.col("varied"), F.col("pos"))).alias("repeated"),
-        )
+    blocks_of = near.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(own).alias("chosen"))
+    varied = blocks_of.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").withColumn("varied", F.lit(True)).drop("k")
+    whole = blocks_of.where("n > 1").drop("n").join(varied, "anchor", "left")
+    judged = settle(skew_join(near, whole, ["anchor", "block"], ["rid", "pos"], "left"))
+    first = F.shiftright("pos", 16)
+    dup = judged.where("chosen is not null").select("rid", first.alias("first"), (first + F.shiftright("pos", 8).bitwiseAND(F.lit(255))).alias("last"))
+    check = settle(
+        judged.where("chosen is null or (varied and chosen = xxhash64(rid, pos))")
+        .groupBy("rid")
+        .agg(F.collect_list(F.when(F.col("chosen").isNull(), F.col("pos"))).alias("single"), F.collect_list(F.when(F.col("chosen").isNotNull(), F.col("pos"))).alias("repeated"))
     )
-    check = marks.where("size(single) > 0 or size(repeated) > 0").select("rid", "single", "repeated")
     size = check.agg(F.sum(F.lit(64) + 8 * (F.size("single") + F.size("repeated")))).first()[0] or 0
     windows = settle(boundary_windows(_with_texts(docs, check, size, "inner").select("rid", "text", "single", "repeated")))
     twice = windows.groupBy("anchor", "window").agg(F.sum("n").alias("all")).where("`all` > 1").drop("all")
-    more = skew_join(settle(windows.where("n = 1")), twice, ["anchor", "window"], ["rid", "at"]).groupBy("rid").agg(F.collect_list(F.shiftleft("at", 16)).alias("more"))
-    none = F.expr("cast(array() as array<bigint>)")
-    return settle(
-        marks.select("rid", "dup").join(more, "rid", "full").select("rid", F.concat(F.coalesce("dup", none), F.coalesce("more", none)).alias("starts")).where("size(starts) > 0")
-    )
+    once = settle(windows.where("n = 1").drop("n"))
+    more = skew_join(once, twice, ["anchor", "window"], ["rid", "at"]).select("rid", F.col("at").alias("first"), F.col("at").alias("last"))
+    return settle(_runs(dup.unionByName(more)))
 
 
-def covered(n: int, starts: list[int]) -> np.ndarray:
+def covered(n: int, runs: list[int]) -> np.ndarray:
     """Whether each of n words is in a duplicated window."""
-    x = np.array(starts, np.int64)
+    x = np.array(runs, np.int64)
     steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, x >> 16, 1)
-    np.add.at(steps, (x >> 16) + (x >> 8 & 255) + W, -1)
+    np.add.at(steps, x >> 32, 1)
+    np.add.at(steps, (x & 0xFFFFFFFF) + W, -1)
     return np.cumsum(steps)[:n] > 0
 
 
@@ -148,16 +160,16 @@ def remove(docs: DataFrame, texts: bool = True) -> DataFrame:
     batches(docs.sparkSession)
     rows = _prepared(docs)
     marks = spans(rows.select("rid", "text"))
-    size = marks.agg(F.sum(F.lit(64) + 8 * F.size("starts"))).first()[0] or 0
+    size = marks.agg(F.sum(F.lit(64) + 8 * F.size("runs"))).first()[0] or 0
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out = []
-            for text, starts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            for text, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 kept = words
-                if starts:
-                    kept = [w for w, gone in zip(words, covered(len(words), starts).tolist(), strict=True) if not gone]
+                if runs:
+                    kept = [w for w, gone in zip(words, covered(len(words), runs).tolist(), strict=True) if not gone]
                 body = b" ".join(kept)
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), body.decode("utf-8", "surrogatepass") if texts else None))
             columns = [[r[i] for r in out] for i in range(4)]
@@ -165,7 +177,7 @@ def remove(docs: DataFrame, texts: bool = True) -> DataFrame:
                 [part.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], [x.split()[0] for x in SCHEMA.split(", ")]
             )
 
-    return _with_texts(rows, marks, size, "left").select("doc_id", "text", "starts").mapInArrow(run, SCHEMA)
+    return _with_texts(rows, marks, size, "left").select("doc_id", "text", "runs").mapInArrow(run, SCHEMA)
 
 
 def report(docs: DataFrame) -> DataFrame:
