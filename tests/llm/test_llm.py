@@ -106,8 +106,10 @@ def test_near_duplicates_equal_brute_force(docs, rows, rule):
     assert Counter(r.doc_id for r in kept.collect()) == want
 
 
-def test_links_that_the_least_class_does_not_show(spark):
+@pytest.mark.parametrize("block", [2, 256])
+def test_links_that_the_least_class_does_not_show(spark, monkeypatch, block):
     """A chain: neighbours link, ends do not, and the least id is at one end."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     ws = [f"w{i}" for i in range(120)]
     texts = [" ".join(f"e{k}" if j < k * 6 and j % 6 == 0 else w for j, w in enumerate(ws)) for k in range(0, 19)]
     rows = [(i, t, None, None) for i, t in enumerate(texts)]
