@@ -99,3 +99,31 @@ def sessions(spark: SparkSession, path: str) -> DataFrame:
     rows = jsonl(spark, path, "session_id string, provider string, tool string, artifact string, decision string, at string")
     distinct = lambda x: F.array_sort(F.collect_set(x)).alias(f"{x}s")
     return rows.groupBy("provider", "session_id").agg(distinct("tool"), distinct("artifact"), F.transform(F.array_sort(F.collect_list(F.when(F.col("decision").isNotNull(), F.struct("at", "decision")))), lambda x: x["decision"]).alias("decisions"))
+
+
+def dxf(spark: SparkSession, path: str) -> DataFrame:
+    """Entities of text drawings by their group codes: (file, entity_no, kind, layer, handle, text, x, y).
+
+    A file's lines alternate between codes and values. Code 0 begins an entity; those of the ENTITIES section are kept.
+    Lines are numbered within a file, so a file is read by one task.
+    """
+    from pyspark.sql import Window
+
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    pairs = whole.select("file", F.posexplode(F.expr("transform(sequence(0, int(size(lines) / 2) - 1), i -> struct(trim(lines[2 * i]) as code, trim(lines[2 * i + 1]) as value))")).alias("nr", "p")).select("file", "nr", "p.code", "p.value")
+    order = Window.partitionBy("file").orderBy("nr")
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = (F.col("code") == "0").cast("int")
+    marked = pairs.withColumn("lagged", F.lag("value").over(order)).withColumn("section", F.last(F.when((F.col("lagged") == "SECTION") & (F.col("code") == "2"), F.col("value")), ignorenulls=True).over(before))
+    numbered = marked.withColumn("entity_no", F.sum(begins).over(before)).where("section = 'ENTITIES'")
+    value = lambda code: F.min_by(F.when(F.col("code") == code, F.col("value")), F.when(F.col("code") == code, F.col("nr")))
+    out = numbered.groupBy("file", "entity_no").agg(value("0").alias("kind"), value("8").alias("layer"), value("5").alias("handle"), value("1").alias("text"), value("10").cast("double").alias("x"), value("20").cast("double").alias("y"))
+    return out.where("kind is not null and kind not in ('SECTION', 'ENDSEC', 'EOF')")
+
+
+def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (key) and edges (src, dst) of GraphML files."""
+    text = spark.read.text(path, wholetext=True)
+    attr = lambda x, a: F.regexp_extract(x, rf'\b{a}="([^"]*)"', 1)
+    each = lambda tag: text.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(<{tag}\b[^>]*>)"), F.lit(1))).alias("t"))
+    return each("node").select(attr("t", "id").alias("key")), each("edge").select(attr("t", "source").alias("src"), attr("t", "target").alias("dst"))

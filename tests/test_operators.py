@@ -224,3 +224,14 @@ def test_the_entry_imports_without_a_session():
     root = Path(__file__).resolve().parents[1]
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, check=True)
     assert int(out.stdout.split()[-1]) > 100
+
+
+def test_drawings_and_graphs_are_read(spark, tmp_path):
+    pairs = [(0, "SECTION"), (2, "HEADER"), (9, "$ACADVER"), (1, "AC1032"), (0, "ENDSEC"), (0, "SECTION"), (2, "ENTITIES"), (0, "LINE"), (8, "A-WALL"), (10, "1.5"), (20, "2"), (0, "TEXT"), (8, "A-ANNO"), (1, "101"), (0, "ENDSEC"), (0, "EOF")]
+    (tmp_path / "a.dxf").write_text("\n".join(f"{k}\n{v}" for k, v in pairs) + "\n")
+    got = [(r.kind, r.layer, r.text, r.x, r.y) for r in readers.dxf(spark, str(tmp_path / "a.dxf")).orderBy("entity_no").collect()]
+    assert got == [("LINE", "A-WALL", None, 1.5, 2.0), ("TEXT", "A-ANNO", "101", None, None)]
+    (tmp_path / "g.graphml").write_text('<graphml><graph><node id="a"/><node id="b"><data/></node><edge source="a" target="b"/></graph></graphml>')
+    nodes, edges = readers.graphml(spark, str(tmp_path / "g.graphml"))
+    assert sorted(r.key for r in nodes.collect()) == ["a", "b"]
+    assert [tuple(r) for r in edges.collect()] == [("a", "b")]
