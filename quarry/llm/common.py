@@ -112,17 +112,27 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64)
 
 
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of two runs made into those of both in this order."""
+    out = a * np.uint64(0x9E3779B97F4A7C15) + b
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """One well-mixed hash for each run of n consecutive word hashes; none if there are fewer."""
+    """One well-mixed hash for each run of n consecutive word hashes; none if there are fewer.
+
+    Runs double in length while they fit, and two that overlap make up the rest.
+    """
     if len(h) < n:
         return h[:0]
-    prime = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        out = h[: len(h) - n + 1].copy()
-        for i in range(1, n):
-            out = out * prime + h[i : len(h) - n + 1 + i]
-            if i % 4 == 0:
-                out ^= out >> np.uint64(29)
+        out, m = h, 1
+        while 2 * m <= n:
+            out, m = _join(out[:-m], out[m:]), 2 * m
+        if m < n:
+            out = _join(out[: m - n], out[n - m :])
         return mix(out)
 
 

@@ -82,13 +82,13 @@ def boundary_windows(docs: DataFrame) -> DataFrame:
             found = []
             for rid, text, single, repeated in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 h = hashes.of((text or "").encode("utf-8", "surrogatepass").split())
-                for n, places in ((1, single or ()), (2, repeated or ())):
-                    for pos in places:
-                        first, more, to = pos >> 16, pos >> 8 & 255, pos & 255
-                        windows = window_hashes(h[first : first + more + W], W)
-                        k = len(windows)
-                        anchor = window_hashes(h[first + to : first + to + Q], Q)
-                        found.append((np.repeat(anchor, k), windows, np.full(k, n), np.full(k, rid), np.arange(first, first + k)))
+                windows, grams = window_hashes(h, W), window_hashes(h, Q)
+                places = np.array([*(single or ()), *(repeated or ())], np.int64)
+                first, sizes = places >> 16, (places >> 8 & 255) + 1
+                ends = np.cumsum(sizes)
+                at = np.arange(ends[-1]) - np.repeat(ends - sizes - first, sizes)
+                n = np.repeat(np.where(np.arange(len(places)) < len(single or ()), 1, 2), sizes)
+                found.append((np.repeat(grams[first + (places & 255)], sizes), windows[at], n, np.full(len(at), rid), at))
             if found:
                 yield pa.RecordBatch.from_arrays([_long(np.concatenate(x)) for x in zip(*found, strict=True)], ["anchor", "window", "n", "rid", "at"])
 
