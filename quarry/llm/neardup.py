@@ -316,3 +316,22 @@ def dedup(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
         return kept
     again = kept.join(small(repeated, 24), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.join(small(repeated, 24), "doc_id", "left_anti").unionByName(again.select(*docs.columns))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM d)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY 1
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN n na ON na.doc_id = x.doc_id JOIN n nb ON nb.doc_id = y.doc_id
+  GROUP BY 1, 2, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))
+), reach(node, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+), c AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c ON d.doc_id = c.node
+"""

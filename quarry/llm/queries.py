@@ -62,4 +62,4 @@ def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hyperminhash, op2_mix_sources, op3_language_id, op4_substring_parse, op5_benchmark_tiles, op6_quality_rules, op7_shard_tree, op8_secret_ledger, op9_text_density, op10_url_digests)}
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op10_url_digests": urls.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_hyperminhash": neardup.ORACLE, "op4_substring_parse": substrings.ORACLE, "op2_mix_sources": mixing.ORACLE, "op10_url_digests": urls.ORACLE}

@@ -183,3 +183,21 @@ def remove(docs: DataFrame, texts: bool = True) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
     return remove(docs, texts=False).drop("kept_text")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), win AS (
+  SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), twice AS (
+  SELECT s FROM win GROUP BY s HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 35)) AS p FROM win JOIN twice USING (s))
+), words AS (
+  SELECT rid, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d
+), kept AS (
+  SELECT w.rid, count(*) AS n, string_agg(word, ' ' ORDER BY w.p) AS body FROM words w ANTI JOIN gone g ON w.rid = g.rid AND w.p = g.p GROUP BY 1
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
