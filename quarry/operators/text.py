@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
+from quarry.operators.lineage import cut
 
 
 def law_score(title: Column, body: Column, terms: list[str], phrase: str) -> Column:
@@ -26,6 +27,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
 
     Only postings of asked terms are shuffled: terms reduce the postings before counts meet.
     """
+    docs = cut(docs)  # tokens are used for lengths and for postings
     lengths = docs.select("doc_id", F.size("tokens").cast("double").alias("len"))
     whole = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
