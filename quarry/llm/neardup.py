@@ -34,6 +34,8 @@ BUCKETS, ZERO_BITS, MANTISSA = 128, 6, 10
 DEVIATIONS = 5
 #: Classes of one bucket are held against each other in blocks of this size.
 BLOCK = 256
+#: A bucket's members are numbered in so many parts, squared, at once.
+PARTS = 16
 
 
 class Rule:
@@ -203,16 +205,26 @@ def _packed(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
     return docs.join(small(ids, 24), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, packed binary").dropDuplicates(["id"])
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Number a bucket's members by parts of components and ids, then by component, and cut the order into blocks.
+
+    A member's number is the count of the parts before, plus its place in its own part; no task sees a whole bucket.
+    """
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(PARTS)) * PARTS + F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = parts.groupBy("key", "part").agg(F.count("*").alias("n")).select("key", "part", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy("component", "id")) - 1
+    return parts.withColumn("place", place).join(counts, ["key", "part"]).withColumn("block", ((F.col("before") + F.col("place")) / BLOCK).cast("int")).drop("part", "place", "before")
+
+
 def _crossing(rows: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """Linked pairs across components in settled buckets (key, band, id, component, least).
 
-    Members stand in order of component, in blocks. Blocks of one and the same component are not held against each
-    other; pairs with the bucket's least class were tested before, and a pair is tested in the first band that it
+    Members stand by component in blocks. Blocks of one and the same component are not held against each other; pairs with the bucket's least class were tested before, and a pair is tested in the first band that it
     shares. What passes the estimate is counted on the sets in the same task, so that of a large group without
     links no pairs are listed.
     """
-    order = Window.partitionBy("key").orderBy("component", "id")
-    numbered = settle(rows.withColumn("block", ((F.row_number().over(order) - 1) / BLOCK).cast("int")))
+    numbered = settle(_in_blocks(rows))
     ends = numbered.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     left, right = (ends.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high"))) for x in "ij")
     tasks = left.join(right, "key").where("block_i <= block_j and not (low_i = high_i and low_j = high_j and low_i = low_j)")
