@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of text per Arrow batch; with very long texts a larger batch would not fit a small executor.
 BATCH_ROWS = 1000
+#: Words whose hashes a Python worker keeps: some 60 MB, so that two workers fit beside a small executor's heap.
+CACHED_WORDS = 300_000
 #: A side may be broadcast below this many estimated bytes; beyond it the same join shuffles.
 BROADCAST_BYTES = 32 << 20
 MASK = (1 << 64) - 1
@@ -97,12 +99,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for words seen before; emptied when it has a million."""
+    """64-bit hashes of words, kept for words seen before; emptied when it is full."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= CACHED_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
