@@ -1,12 +1,14 @@
 """Quality rules: distribution divergence.
 
 A document's histograms of character classes and of common words are compared by Jensen-Shannon distance to
-references per language. The references are summed over every document of a language; a document is held
-against all of them and judged by the nearest, so that a wrong language label costs nothing.
+references per language. The references are summed over every document of a language, however few its words;
+a document is held against all of them and judged by the nearest, so that a wrong language label costs nothing. Its own
+language is always among them: a rare language is not held against others alone, and since a document is part of its
+own reference, few words bring the reference nearer to it, not further away.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept; texts shorter than the
-guards are not judged by the histogram concerned; a null language counts as a language of its own; equal rows
-get equal results; an empty table gives an empty result; further columns of the input are ignored by ``judge``.
+guards are not judged by the histogram concerned; a null language makes no reference, and its documents are judged
+by the base rule alone; equal rows get equal results; an empty table gives an empty result; further columns of the input are ignored by ``judge``.
 """
 
 from __future__ import annotations
@@ -38,8 +40,6 @@ SYMBOLS = "#*$%&|<>"
 #: Longest distance of each histogram from its nearest reference, and the least length at which it is judged.
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.26, 200
 MAX_WORD_DISTANCE, MIN_WORDS = 0.36, 40
-#: A language is a reference if its documents have so many words together.
-MIN_REFERENCE_WORDS = 1000
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other letter", "other")
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -118,14 +118,14 @@ def _words(text: str) -> list[str]:
 
 
 def references(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Character-class and common-word distributions, a row for each language, over all documents.
+    """Character-class and common-word distributions, a row for each language that is not null, over all documents.
 
     What reaches the driver is one row for each language and cell.
     """
     batches(docs.sparkSession)
 
     def sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[str | None, np.ndarray] = {}
+        by: dict[str, np.ndarray] = {}
         for part in parts:
             for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if text:
@@ -138,13 +138,14 @@ def references(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             ["lang", "cell", "n"],
         )
 
-    cells = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(sums, "lang string, cell int, n long")
-    by: dict[str | None, np.ndarray] = {}
+    named = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("lang IS NOT NULL")
+    cells = named.mapInArrow(sums, "lang string, cell int, n long")
+    by: dict[str, np.ndarray] = {}
     for lang, cell, n in cells.groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect():
         by.setdefault(lang, np.zeros(len(CLASSES) + len(_INDEX) + 1))[cell] = n
-    kept = [x for _, x in sorted(by.items(), key=lambda x: (x[0] is None, x[0] or "")) if x[len(CLASSES) :].sum() >= MIN_REFERENCE_WORDS]
-    chars = np.array([x[: len(CLASSES)] / x[: len(CLASSES)].sum() for x in kept]).reshape(-1, len(CLASSES))
-    words = np.array([x[len(CLASSES) :] / x[len(CLASSES) :].sum() for x in kept]).reshape(-1, len(_INDEX) + 1)
+    sums_of = [by[lang] for lang in sorted(by)]
+    chars = np.array([x[: len(CLASSES)] / x[: len(CLASSES)].sum() for x in sums_of]).reshape(-1, len(CLASSES))
+    words = np.array([x[len(CLASSES) :] / x[len(CLASSES) :].sum() for x in sums_of if x[len(CLASSES) :].any()]).reshape(-1, len(_INDEX) + 1)
     return chars, words
 
 
@@ -161,13 +162,13 @@ def distances(text: str, words: list[str], chars: np.ndarray, common: np.ndarray
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def verdict(text: str | None, hashes: WordHashes, chars: np.ndarray, common: np.ndarray) -> tuple:
-    """All that SCHEMA has after doc_id, for one text."""
+def verdict(text: str | None, lang: str | None, hashes: WordHashes, chars: np.ndarray, common: np.ndarray) -> tuple:
+    """All that SCHEMA has after doc_id, for one text of a language."""
     text = text or ""
     words = _words(text)
     base = base_counts(text, words, hashes)
     failed = base_failed(base[0], base[4])
-    far = distances(text, words, chars, common)
+    far = (None, None) if lang is None else distances(text, words, chars, common)
     kept = not failed and (far[0] is None or far[0] <= MAX_CHAR_DISTANCE) and (far[1] is None or far[1] <= MAX_WORD_DISTANCE)
     return *base, failed, kept, *far
 
@@ -179,13 +180,13 @@ def judge(docs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in parts:
-            rows = [verdict(text, hashes, chars, common) for text in part.column(1).to_pylist()]
+            rows = [verdict(text, lang, hashes, chars, common) for text, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2, strict=True))] if rows else [part.column(0), *(pa.array([], t) for t in [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2)],
                 [x.split()[0] for x in SCHEMA.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, SCHEMA)
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -196,10 +197,10 @@ def keep(docs: DataFrame) -> DataFrame:
     chars, common = references(docs)
 
     @F.udf("boolean", useArrow=True)
-    def good(text: str) -> bool:
-        return verdict(text, good_hashes(), chars, common)[6]
+    def good(text: str, lang: str) -> bool:
+        return verdict(text, lang, good_hashes(), chars, common)[6]
 
-    return docs.where(good(F.col("text").cast("string")))
+    return docs.where(good(F.col("text").cast("string"), F.col("lang").cast("string")))
 
 
 _HASHES: list[WordHashes] = []

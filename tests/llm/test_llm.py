@@ -309,6 +309,33 @@ def test_quality_rejects_other_distributions(spark):
     assert not got[100].kept
 
 
+@pytest.mark.parametrize("n", [60, 400, 999, 1000, 3000])
+def test_quality_of_a_rare_language_does_not_turn_on_its_size(spark, n):
+    rng = random.Random(2)
+    english = [(i, ". ".join(" ".join(rng.choice(["the", "of", "river", "stone", "and", "walked", "is", f"name{rng.random():.5f}"[:8]]) for _ in range(12)).capitalize() for _ in range(8)), "en") for i in range(60)]
+    polish = " ".join(rng.choice("rzeka kamień dom który jest nie się przez drzewo droga świat ludzie".split()) + f"{'aeiou'[rng.randrange(5)]}" for _ in range(n))
+    both = spark.createDataFrame([*english, (100, polish, "pl")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(both).collect()}
+    assert not got[100].base_failed
+    assert got[100].kept
+    assert 100 in {r.doc_id for r in quality.keep(both).collect()}
+    assert all(got[i].kept for i in range(60))
+
+
+def test_quality_judges_small_tables_and_takes_no_reference_from_null(spark):
+    rng = random.Random(3)
+    clean = [(i, " ".join(rng.choice(["the", "of", "river", "stone", "and", "walked", "is", "home"]) for _ in range(60)), "en") for i in range(15)]
+    junk = " ".join(f"{rng.random():.2f}$%" for _ in range(45))
+    table = [*clean, (100, junk, "en"), *((200 + i, junk, None) for i in range(30))]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(15))
+    assert not got[100].base_failed
+    assert not got[100].kept
+    assert got[200].kept
+    assert got[200].char_distance is None
+    assert got[200].word_distance is None
+
+
 def place(doc_id, n):
     def draw(s):
         if doc_id is None:
