@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable
 
@@ -22,8 +21,7 @@ CACHED_WORDS = 300_000
 BROADCAST_BYTES = 32 << 20
 MASK = (1 << 64) - 1
 
-_written: list[tuple[SparkSession, str]] = []
-_released = [0.0]
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,38 +45,63 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Spark's setting under which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there, and losing an executor loses nothing.
 
-    ``checkpoint()`` would compute the last stage twice, and its files are not compressed.
+    The shuffle files of the write go as soon as it ends. ``checkpoint()`` would compute the last stage twice, and its
+    files are not compressed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _release(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
 
+def discard(*settled: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in settled:
+        _delete(df.sparkSession, df.settled_at)
+        _written.pop(df.settled_at, None)
 
-def _release(spark: SparkSession) -> None:
-    """Let shuffle files of finished steps go: Spark drops them when the driver's JVM collects their plans."""
-    if time.monotonic() - _released[0] > 3:
-        spark.sparkContext._jvm.System.gc()
-        _released[0] = time.monotonic()
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended first; its folder goes with it
             return
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that the table does not have, in any case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Mark a settled table for broadcast if its counted rows fit in BROADCAST_BYTES, else leave the join to shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
@@ -178,14 +201,19 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(e)
     while before[0]:
         both = settle(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        discard(e)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = settle(stars(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        discard(both)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = stars(large, least)
         e = settle(tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(large)
         now = state(e)
         if now == before:
             break
         before = now
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return settle(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
+    out = settle(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
+    discard(e)
+    return out

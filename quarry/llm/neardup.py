@@ -8,12 +8,15 @@ the full shingle sets reach it.
 
 Equal sets are one class from the start. In each bucket of a band, every class is first held against the least
 class. After these links' components are known, buckets that still hold several components are searched again for
-pairs across them, in blocks, so that no link is lost to the choice of the least class. Groups of any size are dealt
-out, and pairs within a component are not listed.
+pairs across them, so that no link is lost to the choice of the least class: in small buckets every member meets
+every other. Members of larger ones meet where they share one of their rarest shingles; of two sets that reach the
+threshold, so many of the rarest must hold a common one (the prefix filter), and what a whole family of texts shares is
+not rare. Pairs are held against each other in bounded groups, and pairs within a component are not listed.
 
 Defined results: a null, empty or blank text has the empty set, links with nothing and is kept; a row without id
-cannot name a component: its component is null, it links with nothing and is kept; rows of equal id are taken as
-equal; equal texts link; an empty table gives an empty result; further columns are ignored.
+cannot name a component: its component is null, it links with nothing and is kept; rows of equal id are rows of their
+own, linked by their texts alone; equal texts link; an empty table gives an empty result; further columns are ignored
+by ``duplicates`` and kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -27,15 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, WordHashes, batches, components, mix, settle, skew_join, small, window_hashes
+from .common import BROADCAST_BYTES, WordHashes, batches, components, discard, mix, settle, skew_join, small, unused, window_hashes
 
 BUCKETS, ZERO_BITS, MANTISSA = 128, 6, 10
 #: Candidates pass within so many standard deviations of the estimate below the threshold.
 DEVIATIONS = 5
-#: Classes of one bucket are held against each other in blocks of this size.
-BLOCK = 256
-#: A bucket's members are numbered in so many parts, squared, at once.
+#: All members of groups up to this size meet; larger groups are split.
+SMALL = 64
+#: Members of one large group are held against each other in blocks of this size.
+BLOCK = 1024
+#: A large group's members are numbered in so many parts, squared, at once.
 PARTS = 16
+#: Partners that one set is held against in a row.
+PARTNERS = 256
+#: Ids of which a worker remembers that it has emitted their sets.
+REMEMBERED = 100_000
 
 
 class Rule:
@@ -128,13 +137,13 @@ def near(rule: Rule, regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_
 
 
 def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n, d1, d2, regs) of (doc_id, text): size, 128-bit digest and sketch of each set."""
+    """(doc_id, t, n, d1, d2, regs) of (doc_id, t, text): size, 128-bit digest and sketch of each set."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in parts:
             n, d1, d2, regs = [], [], [], []
-            for text in part.column(1).to_pylist():
+            for text in part.column(2).to_pylist():
                 h = shingles(text, rule.words, hashes)
                 with np.errstate(over="ignore"):
                     digest = np.array([mix(h).sum(), mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], np.uint64).view(np.int64)
@@ -142,9 +151,11 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
                 d1.append(int(digest[0]))
                 d2.append(int(digest[1]))
                 regs.append(registers(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n", "d1", "d2", "regs"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "t", "n", "d1", "d2", "regs"]
+            )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs binary")
+    return docs.mapInArrow(run, "doc_id long, t long, n long, d1 long, d2 long, regs binary")
 
 
 def _grid(column: pa.Array) -> np.ndarray:
@@ -170,45 +181,82 @@ def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return first.join(side("b"), "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Settled pairs (a, b) whose full sets, made from their whole texts, are linked."""
-    ids = settle(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = settle(docs.join(small(ids, 24), "doc_id", "left_semi").select("doc_id", "text"))
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+def _sets(docs: DataFrame, wanted: DataFrame, row_bytes: int, rule: Rule, use, schema: str) -> DataFrame:
+    """Rows that ``use`` makes of the sets of wanted classes (doc_id, t, id, ...), each from its whole text.
+
+    Texts are not shuffled while the wanted rows are small. ``use`` takes sets and the wanted rows' further columns; of
+    repeated rows a worker uses one.
+    """
+    fields = [c for c in wanted.columns if c not in ("doc_id", "t")]
+    joined = docs.join(F.broadcast(wanted) if row_bytes <= BROADCAST_BYTES else wanted, ["doc_id", "t"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), (None, np.empty(0, np.uint64))
+        hashes: WordHashes = WordHashes()
+        seen: set[int] = set()
         for part in parts:
-            good = []
-            for a, text_a, text_b in zip(*(part.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if last[0] != a:
-                    last = (a, shingles(text_a, rule.words, hashes))
-                other = shingles(text_b, rule.words, hashes)
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                good.append(rule.linked(both, len(last[1]) + len(other) - both))
-            yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            rows = part.to_pylist()
+            fresh = []
+            for r in rows:
+                if r["id"] not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(r["id"])
+                    fresh.append(r)
+            if fresh:
+                yield from use([shingles(r["text"], rule.words, hashes) for r in fresh], fresh)
 
-    joined = skew_join(pairs, side("b"), ["b"], ["a"])
-    joined = skew_join(settle(joined), side("a"), ["a"], ["b"])
-    return settle(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
+    return joined.select("text", *fields).mapInArrow(run, schema)
 
 
-def _packed(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """(id, packed): the sets of some documents as sorted 32-bit hashes, made from their whole texts."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Settled pairs (a, b) of settled ones whose full sets, made from their whole texts, are linked.
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    Each set is made once and goes once to each of its partners' groups; a set with many partners goes once to every
+    PARTNERS of them, and comes before them in its task.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    dealt = settle(skew_join(pairs, many, ["a"], ["b"]).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))))
+    role = lambda x, kind: dealt.select(F.col(x).alias("id"), F.struct("a", "part", F.lit(kind).alias("kind")).alias("role"))
+    roles = role("b", 1).unionByName(role("a", 0).distinct()).groupBy("id").agg(F.collect_list("role").alias("roles"))
+    wanted = settle(roles.join(classes.select("id", "doc_id", "t"), "id"))
+    size = wanted.agg(F.sum(F.lit(48) + 24 * F.size("roles"))).first()[0] or 0
+
+    def deal(sets: list[np.ndarray], rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for h, r in zip(sets, rows, strict=True):
+            k = len(r["roles"])
+            cells = [pa.array([x[f] for x in r["roles"]], t) for f, t in (("a", pa.int64()), ("part", pa.int64()), ("kind", pa.int32()))]
+            for at in range(0, k, PARTNERS):
+                cut = slice(at, min(k, at + PARTNERS))
+                m = cut.stop - at
+                yield pa.RecordBatch.from_arrays([*(c[cut] for c in cells), pa.array([r["id"]] * m, pa.int64()), pa.array([h.tobytes()] * m, pa.binary())], ["a", "part", "kind", "b", "packed"])
+
+    def hold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.empty(0, np.uint64)
         for part in parts:
-            sets = [np.sort((shingles(text, rule.words, hashes) & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for text in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "packed"])
-
-    return docs.join(small(ids, 24), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, packed binary").dropDuplicates(["id"])
+            good = []
+            for a, kind, packed in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
+                other = np.frombuffer(packed, np.uint64)
+                if kind == 0:
+                    at, own = a, other
+                    good.append(False)
+                    continue
+                assert at == a
+                spot = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                both = int((own[spot] == other).sum())
+                good.append(rule.linked(both, len(own) + len(other) - both))
+            yield part.select([0, 2]).filter(pa.array(good, pa.bool_()))
+
+    packed = _sets(docs, wanted, size, rule, deal, "a long, part long, kind int, b long, packed binary")
+    sorted_sets = packed.repartition("a", "part").sortWithinPartitions("a", "part", "kind", "b").select("a", "kind", "b", "packed")
+    out = settle(sorted_sets.mapInArrow(hold, "a long, b long").distinct())
+    discard(dealt, wanted)
+    return out
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Number a bucket's members by parts of components and ids, then by component, and cut the order into blocks.
+    """Number a group's members by parts of components and ids, then by component, and cut the order into blocks.
 
-    A member's number is the count of the parts before, plus its place in its own part; no task sees a whole bucket.
+    A member's number is the count of the parts before, plus its place in its own part; no task sees a whole group.
     """
     parts = rows.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(PARTS)) * PARTS + F.pmod(F.xxhash64("id"), F.lit(PARTS)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -217,117 +265,205 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return parts.withColumn("place", place).join(counts, ["key", "part"]).withColumn("block", ((F.col("before") + F.col("place")) / BLOCK).cast("int")).drop("part", "place", "before")
 
 
-def _crossing(rows: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Linked pairs across components in settled buckets (key, band, id, component, least).
+PAIRS = "a long, b long"
+
+
+def _across(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, rule: Rule, x: int, ys: np.ndarray) -> np.ndarray:
+    """Of members ys of a group, those in other components than x whose sketches come near that of x."""
+    ys = ys[comp[ys] != comp[x]]
+    return ys[near(rule, np.broadcast_to(regs[x], (len(ys), BUCKETS)), regs[ys], np.full(len(ys), n[x]), n[ys])] if len(ys) else ys
 
-    Members stand by component in blocks. Blocks of one and the same component are not held against each other; pairs with the bucket's least class were tested before, and a pair is tested in the first band that it
-    shares. What passes the estimate is counted on the sets in the same task, so that of a large group without
-    links no pairs are listed.
+
+def _meet(groups: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Settled candidate pairs (a, b) across components in settled groups (key, id, component) that hold several.
+
+    Groups up to SMALL pass through a task in order; larger ones go in blocks, of which pairs with one and the same
+    component are left out.
     """
-    numbered = settle(_in_blocks(rows))
+    shape = groups.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "members")
+    rows = settle(skew_join(groups, shape, ["key"], ["id"]))
+    sketches = classes.select("id", "n", "regs")
+
+    def pass_by(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def pairs() -> pa.RecordBatch:
+            ids, comp, n = (np.array([r[i] for r in held], np.int64) for i in (1, 2, 3))
+            regs = np.frombuffer(b"".join(r[4] for r in held), np.uint16).reshape(-1, BUCKETS)
+            a, b = [], []
+            for x in range(len(held) - 1):
+                ys = _across(ids, comp, n, regs, rule, x, np.arange(x + 1, len(held)))
+                a += np.minimum(ids[ys], ids[x]).tolist()
+                b += np.maximum(ids[ys], ids[x]).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for part in parts:
+            for row in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                if row[0] != key:
+                    if len(held) > 1:
+                        yield pairs()
+                    key, held = row[0], []
+                held.append(row)
+        if len(held) > 1:
+            yield pairs()
+
+    few = rows.where(F.col("members") <= SMALL).select("key", "id", "component").join(sketches, "id")
+    out = few.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "component", "n", "regs").mapInArrow(pass_by, PAIRS)
+    large = rows.where(F.col("members") > SMALL).select("key", "id", "component")
+    if large.isEmpty():
+        found = settle(out.distinct())
+        discard(rows)
+        return found
+
+    numbered = settle(_in_blocks(large))
     ends = numbered.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     left, right = (ends.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high"))) for x in "ij")
-    tasks = left.join(right, "key").where("block_i <= block_j and not (low_i = high_i and low_j = high_j and low_i = low_j)")
-    tasks = settle(tasks.select("key", "block_i", "block_j"))
+    tasks = settle(left.join(right, "key").where("block_i <= block_j and not (low_i = high_i and low_j = high_j and low_i = low_j)").select("key", "block_i", "block_j"))
     wanted = tasks.select("key", "block_i", "block_j", F.col("block_i").alias("block")).unionByName(tasks.where("block_i < block_j").select("key", "block_i", "block_j", F.col("block_j").alias("block")))
-    sets = _packed(docs, settle(rows.select(F.col("id").alias("doc_id")).distinct()), rule)
-    held = settle(classes.select("id", "n", "regs").join(sets, "id"))
-    members = skew_join(numbered, wanted, ["key", "block"], ["id"]).join(held, "id")
+    members = skew_join(numbered, wanted, ["key", "block"], ["id"]).join(sketches, "id")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, n, least, block = (table.column(c).to_numpy() for c in ("id", "component", "n", "least", "block"))
+        ids, comp, n, block = (table.column(c).to_numpy() for c in ("id", "component", "n", "block"))
         regs = _grid(table.column("regs").combine_chunks())
-        packed = [np.frombuffer(x, np.uint32) for x in table.column("packed").to_pylist()]
-        i, j, band = (table.column(c)[0].as_py() for c in ("block_i", "block_j", "band"))
-        rows_i, rows_j = np.flatnonzero((block == i) & (ids != least)), np.flatnonzero((block == j) & (ids != least))
+        i, j = (table.column(c)[0].as_py() for c in ("block_i", "block_j"))
+        rows_i, rows_j = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in rows_i:
-            ys = rows_j[comp[rows_j] != comp[x]]
-            if i == j:
-                ys = ys[ids[ys] > ids[x]]
-            if not len(ys):
-                continue
-            before = (regs[ys, : band * rule.rows] == regs[x, : band * rule.rows]).reshape(len(ys), band, rule.rows).all(2).any(1)
-            ys = ys[~before]
-            ys = ys[near(rule, np.broadcast_to(regs[x], (len(ys), BUCKETS)), regs[ys], np.full(len(ys), n[x]), n[ys])]
-            if not len(ys):
-                continue
-            others = np.concatenate([packed[y] for y in ys])
-            at = np.minimum(np.searchsorted(packed[x], others), len(packed[x]) - 1)
-            sizes = np.array([len(packed[y]) for y in ys])
-            both = np.add.reduceat((packed[x][at] == others).astype(np.int64), np.cumsum(sizes) - sizes)
-            ok = ys[100 * both >= rule.percent * (len(packed[x]) + sizes - both)]
-            a += np.minimum(ids[ok], ids[x]).tolist()
-            b += np.maximum(ids[ok], ids[x]).tolist()
+            ys = _across(ids, comp, n, regs, rule, x, rows_j if i != j else rows_j[ids[rows_j] > ids[x]])
+            a += np.minimum(ids[ys], ids[x]).tolist()
+            b += np.maximum(ids[ys], ids[x]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.groupBy("key", "block_i", "block_j").applyInArrow(run, "a long, b long")
+    found = settle(out.unionByName(members.groupBy("key", "block_i", "block_j").applyInArrow(run, PAIRS)).distinct())
+    discard(rows, numbered, tasks)
+    return found
 
 
-def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Settled (doc_id, n, near) and (near, id): each document's nearest leader of its set, and each leader's class.
+def _rarest(members: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Settled (key, id, component): settled members (id, component) under each of their rarest shingles that another has.
 
-    A class is the least id of equal sets. Leaders are least ids within a part of a set's documents, so that a set
-    that a third of all documents have is dealt out.
+    A set of n needs its n - ceil(t * n) + 1 rarest; shingles are as rare as few members have them, and all members
+    rank them alike.
     """
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    by = Window.partitionBy("n", "d1", "d2", "part").orderBy("doc_id")
-    led = settle(sets.where("n > 0").select("doc_id", "n", "d1", "d2", part.alias("part")).withColumn("near", F.first("doc_id").over(by)))
-    leaders = led.select("n", "d1", "d2", "near").distinct()
-    known = settle(leaders.withColumn("id", F.first("near").over(Window.partitionBy("n", "d1", "d2").orderBy("near"))).select("near", "id"))
-    return led.select("doc_id", "n", "near"), known
 
+    def spread(sets: list[np.ndarray], rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for h, r in zip(sets, rows, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), r["id"], np.int64)), pa.array(h.view(np.int64))], ["id", "key"])
+
+    wanted = settle(members.select("id").join(classes.select("id", "doc_id", "t"), "id"))
+    held = settle(_sets(docs, wanted, wanted.count() * 48, rule, spread, "id long, key long").distinct())
+    counts = held.groupBy("key").agg(F.count("*").alias("uses")).where("uses > 1")
+    used = skew_join(held, counts, ["key"], ["id"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("uses", "key"))).alias("by"))
+    n, p = F.col("n"), F.lit(rule.percent)
+    alone = n - F.size("by")  # shingles that no other member has come first in every order
+    prefix = n - F.ceil(n * p / 100) + 1 - alone
+    keys = used.join(classes.select("id", "n"), "id").withColumn("prefix", prefix.cast("int")).where("prefix > 0")
+    keyed = keys.select("id", F.explode(F.slice("by", F.lit(1), F.col("prefix"))).alias("x")).select("id", F.col("x.key").alias("key"))
+    out = settle(keyed.join(members, "id").select("key", "id", "component"))
+    discard(wanted, held)
+    return out
 
-def duplicates(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document."""
+
+def _crossing(rows: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Settled candidate pairs across components in settled buckets (key, id, component, members)."""
+    few = settle(rows.where(F.col("members") <= SMALL).select("key", "id", "component"))
+    out = _meet(few, classes, rule)
+    many = settle(rows.where(F.col("members") > SMALL).select("id", "component").distinct())
+    if not many.isEmpty():
+        shared = _rarest(many, classes, docs, rule)
+        more = _meet(shared, classes, rule)
+        both = settle(out.unionByName(more).distinct())
+        discard(shared, out, more)
+        out = both
+    discard(few, many)
+    return out
+
+
+def clustered(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Settled (doc_id, t, n, d1, d2, component, least) of rows (doc_id, t, text), in any order.
+
+    ``component`` numbers the linked rows that have an id and words, and is null for others; ``least`` is the
+    component's least doc_id.
+    """
     batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = settle(sketch(rows, rule))
-    named = sets.where("doc_id is not null")
-    led, known = classes_of(named)
-    leaders = known.select("id").distinct()
-    classes = settle(named.where("n > 0").join(leaders, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "regs").dropDuplicates(["id"]))
+    sets = settle(sketch(docs, rule).withColumn("rid", F.monotonically_increasing_id()))
+    named = sets.where("doc_id is not null and n > 0")
+    known = settle(named.groupBy("n", "d1", "d2").agg(F.min("rid").alias("id"), F.min("doc_id").alias("least")))
+    classes = settle(sets.join(known.select("id"), F.col("rid") == F.col("id")).select("id", "doc_id", "t", "n", "regs"))
 
     width = 2 * rule.rows
     band = F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(rule.bands))))
     bands = settle(classes.select("id", band.alias("band", "key")))
-    shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("least")).where("members > 1")
-    buckets = settle(skew_join(bands, shared, ["key"], ["id"]))
-    pairs = settle(buckets.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
+    shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first")).where("members > 1")
+    buckets = settle(skew_join(bands, shared, ["key"], ["id"]).select("key", "id", "members", "first"))
+    discard(bands)
+    pairs = settle(buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     passed = settle(_candidates(_sketched(pairs, classes), rule))
-    edges = verified(passed, rows, rule)
+    edges = verified(passed, docs, classes, rule)
     tied = components(edges)
+    discard(pairs, passed)
 
-    wide = settle(buckets.where("members > 2").select("key", "band", "id", "least"))
+    wide = settle(buckets.where("members > 2").select("key", "id", "members"))
     placed = settle(wide.join(tied, "id", "left").withColumn("component", F.coalesce("component", "id")))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_rows = settle(skew_join(placed, mixed, ["key"], ["id"]))
-    crossing = settle(_crossing(open_rows, classes, rows, rule).distinct())
+    discard(buckets, wide, placed)
+    crossing = _crossing(open_rows, classes, docs, rule)
+    discard(open_rows)
     if not crossing.isEmpty():
-        edges = settle(edges.unionByName(verified(crossing, rows, rule)))
-        tied = components(edges)
+        found = verified(crossing, docs, classes, rule)
+        if not found.isEmpty():
+            both = settle(edges.unionByName(found))
+            discard(edges, tied)
+            edges, tied = both, components(both)
+        discard(found)
+    discard(crossing, edges)
+
+    each = settle(known.join(tied, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    whole = each.groupBy("component").agg(F.min("least").alias("least"))
+    ends = settle(skew_join(each.drop("least"), whole, ["component"], ["id"]).select("n", "d1", "d2", "component", "least"))
+    rows = settle(named.select("doc_id", "t", "n", "d1", "d2", "rid"))
+    tagged = skew_join(rows, ends, ["n", "d1", "d2"], ["rid"])
+    alone = sets.where("doc_id is null or n = 0").select("doc_id", "t", "n", "d1", "d2", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("least"))
+    out = settle(tagged.select(*alone.columns).unionByName(alone))
+    discard(sets, known, classes, tied, each, ends, rows)
+    return out
+
 
-    ends = settle(known.join(tied, "id", "left").select("near", F.coalesce("component", "id").alias("component_id")))
-    linked = led.join(ends, "near").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = linked.unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
+def duplicates(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each document."""
+    found = clustered(_texts(docs), rule)
+    kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("least"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), kept.alias("kept"))
 
 
 def dedup(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
-    """The documents that are kept, one of each component, with all their columns.
+    """The documents that are kept, one row of each component, with all their columns.
 
-    The ids to drop are joined to the texts without a shuffle of texts while they are small. Of rows with equal ids
-    one stays; only such rows are sorted.
+    The row of the least (doc_id, text digest) stays; of rows that agree in both, the one whose columns hash to the
+    least. What to drop is joined to the texts without a shuffle of texts while it is small.
     """
-    found = settle(duplicates(docs, rule))
-    dropped = settle(found.where(~F.col("kept")).select("doc_id").distinct())
-    kept = docs.join(small(dropped, 24), "doc_id", "left_anti").select(*docs.columns)
-    repeated = settle(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    found = clustered(_texts(docs), rule)
+    linked = found.where("component is not null")
+    by_text = settle(linked.groupBy("component", "doc_id", "t").agg(F.count("*").alias("copies")))
+    first = by_text.where("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    judged = settle(skew_join(by_text, first, ["component"], ["doc_id", "t"]).withColumn("stays", F.struct("doc_id", "t") == F.col("first")).select("doc_id", "t", "copies", "stays"))
+    key_id, key_t = unused(docs, "quarry_id", "quarry_t")
+    keyed = docs.withColumns({key_id: F.col("doc_id").cast("long"), key_t: F.xxhash64(F.col("text").cast("string"))})
+    named = lambda rows: settle(rows.select(F.col("doc_id").alias(key_id), F.col("t").alias(key_t)))
+    dropped, repeated = named(judged.where("not stays")), named(judged.where("stays and copies > 1"))
+    discard(found, by_text, judged)
+    kept = keyed.join(small(dropped, 32), [key_id, key_t], "left_anti")
     if repeated.isEmpty():
-        return kept
-    again = kept.join(small(repeated, 24), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small(repeated, 24), "doc_id", "left_anti").unionByName(again.select(*docs.columns))
+        return kept.select(*docs.columns)
+    again = kept.join(small(repeated, 32), [key_id, key_t], "left_semi").groupBy(key_id, key_t)
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    return kept.join(small(repeated, 32), [key_id, key_t], "left_anti").select(*docs.columns).unionByName(again.agg(row).select("row.*"))
 
 
 ORACLE = r"""

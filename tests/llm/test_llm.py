@@ -42,6 +42,7 @@ def corpus() -> list[tuple[int | None, str | None, str | None, str | None]]:
     rows += [(90 + i, base[4], "en", "hot") for i in range(20)]
     rows += [(200, prose(rng, 6000), "fr", "long"), (201, "same word " * 3000, "fr", "long")]
     rows += [(300, base[5], "en", "s1")] * 3  # repeated rows
+    rows += [(400, base[6], "en", "s1"), (400, prose(rng, 90), "en", "hot"), (400, prose(rng, 70), "de", "s2"), (7, prose(rng, 60), "en", "s1"), (8, base[9], "en", "s1")]  # equal ids, other texts
     return rows + [(None, base[3], "en", "s1"), (None, "nothing else says this at all", "en", None)]
 
 
@@ -74,48 +75,91 @@ def shingles(text, k=3):
 
 
 def components(rows, k, percent):
-    sets = {d: shingles(t, k) for d, t, *_ in rows if d is not None}
-    parent = {d: d for d in sets}
+    """Sizes of the rows' sets, and for each row the least row of its component; ids and words are needed to link."""
+    sets = [shingles(t, k) for _, t, *_ in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
+    live = [i for i, r in enumerate(rows) if r[0] is not None and sets[i]]
+    for i in live:
+        for j in live:
+            if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    return sets, {d: find(d) for d in sets}
+    return sets, [find(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("rule", [neardup.CONTRACT, neardup.STAGE])
-def test_near_duplicates_equal_brute_force(docs, rows, rule):
+def expected(rows, rule):
+    """The rows that duplicates should return, and how many rows of each id dedup should keep."""
     sets, comp = components(rows, rule.words, rule.percent)
-    got = neardup.duplicates(docs, rule).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        if r.doc_id is None:
-            assert (r.component_id, r.kept) == (None, True)
-        else:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), comp[r.doc_id], comp[r.doc_id] == r.doc_id)
+    least = {}
+    for i, c in enumerate(comp):
+        least[c] = min((x for x in (least.get(c), rows[i][0]) if x is not None), default=None)
+    out = [(r[0], len(sets[i]), least[comp[i]], r[0] is None or r[0] == least[comp[i]]) for i, r in enumerate(rows)]
+    loose = [i for i, r in enumerate(rows) if r[0] is None or not sets[i]]
+    kept = Counter(rows[i][0] for i in loose) + Counter(least[c] for c in {comp[i] for i in range(len(rows)) if i not in loose})
+    return out, kept
+
+
+@pytest.mark.parametrize(("rule", "small"), [(neardup.CONTRACT, 64), (neardup.STAGE, 1)])
+def test_near_duplicates_equal_brute_force(docs, rows, rule, small, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    want, survivors = expected(rows, rule)
+    assert Counter(tuple(r) for r in neardup.duplicates(docs, rule).collect()) == Counter(want)
     kept = neardup.dedup(docs, rule)
     assert kept.columns == docs.columns
-    want = Counter(d for d in set(comp) if comp[d] == d) + Counter({None: 2})
-    assert Counter(r.doc_id for r in kept.collect()) == want
-
-
-@pytest.mark.parametrize("block", [2, 256])
-def test_links_that_the_least_class_does_not_show(spark, monkeypatch, block):
+    left = kept.collect()
+    assert Counter(r.doc_id for r in left) == survivors
+
+
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    """Equal ids with different texts neither multiply rows nor delete a text."""
+    rng = random.Random(31)
+    pool = [prose(rng, rng.choice([2, 30, 60])) for _ in range(8)]
+    rows = [(rng.randrange(6), rng.choice([*pool, None]), None, None) for _ in range(40)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, source string, quarry_id long, t long, least long").repartition(3)
+    want, _ = expected(rows, neardup.CONTRACT)
+    assert Counter(tuple(r) for r in neardup.duplicates(df).collect()) == Counter(want)
+    _, survivors = expected(rows, neardup.STAGE)
+    first, again = (neardup.dedup(x).collect() for x in (df, df.repartition(2)))
+    assert sorted(map(str, first)) == sorted(map(str, again))
+    assert Counter(r.doc_id for r in first) == survivors
+    assert {r.text for r in first if r.text} == {t for _, t, *_ in rows if t}
+
+
+@pytest.mark.parametrize(("small", "block"), [(64, 1024), (2, 2)])
+def test_links_that_the_least_class_does_not_show(spark, monkeypatch, small, block):
     """A chain: neighbours link, ends do not, and the least id is at one end."""
+    monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "BLOCK", block)
     ws = [f"w{i}" for i in range(120)]
     texts = [" ".join(f"e{k}" if j < k * 6 and j % 6 == 0 else w for j, w in enumerate(ws)) for k in range(0, 19)]
     rows = [(i, t, None, None) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
-    _, comp = components(rows, 3, 85)
-    assert {r.doc_id: r.component_id for r in neardup.duplicates(df).collect()} == comp
+    want, _ = expected(rows, neardup.CONTRACT)
+    assert Counter(tuple(r) for r in neardup.duplicates(df).collect()) == Counter(want)
+
+
+def test_no_pair_at_the_threshold_is_missed():
+    """Banding: of many pairs of sets just above the threshold, each shares a band and passes the estimate."""
+    import numpy as np
+
+    rng = np.random.default_rng(17)
+    rule = neardup.CONTRACT
+    for n in (12, 60, 300, 1200):
+        for _ in range(400):
+            both = -(-rule.percent * n // 100)
+            union = rng.integers(0, 2**64, n, dtype=np.uint64)
+            cut = rng.integers(both, n)
+            a, b = np.sort(union[:cut]), np.sort(np.concatenate([union[:both], union[cut:]]))
+            ra, rb = neardup.registers(a), neardup.registers(b)
+            width = rule.rows
+            assert any((ra[i * width : (i + 1) * width] == rb[i * width : (i + 1) * width]).all() for i in range(rule.bands))
+            assert neardup.near(rule, ra[None], rb[None], np.array([len(a)]), np.array([len(b)])).all()
 
 
 def test_estimate_is_corrected_for_chance(spark):
