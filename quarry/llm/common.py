@@ -45,6 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clean)
+    _written[path] = spark
+    return path
+
+
 #: Spark's setting under which the shuffle files of a query go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -56,16 +65,13 @@ def settle(df: DataFrame) -> DataFrame:
     files are not compressed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
+    path = scratch(spark)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    if not _written:
-        atexit.register(_clean)
-    _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     return out
@@ -161,6 +167,23 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
         return mix(out)
 
 
+#: Equal rows that one task makes of a group.
+CHUNK = 100_000
+
+
+def expanded(groups: DataFrame, n: str, at: str) -> DataFrame:
+    """Settled groups as often as they have rows, numbered from 0; groups of more than CHUNK rows are dealt out in pieces."""
+    count = F.col(n)
+    few = groups.where(count <= CHUNK).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    many = groups.where(count > CHUNK)
+    if many.isEmpty():
+        return few
+    (piece,) = unused(groups, "piece")
+    pieces = many.withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), count - 1, F.lit(CHUNK).cast("long")))).repartition(piece)
+    each = F.explode(F.sequence(F.col(piece), F.least(F.col(piece) + CHUNK, count) - 1))
+    return few.unionByName(pieces.withColumn(at, each).drop(piece))
+
+
 #: A key is hot from so many rows on, and never are more than HOT_KEYS keys; a hot key's rows are dealt to SALTS tasks.
 HOT_ROWS, HOT_KEYS, SALTS = 200, 10_000, 64
 

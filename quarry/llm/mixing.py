@@ -6,12 +6,13 @@ is added, and a document is emitted once for every integer that the sum crosses
 stand by size, so that every stretch of the sum holds a fair share of long and short ones and the words taken come
 near the target.
 
-Place along a source is found from counts: of the sizes before, of the groups before within a size, and of the
-documents before within a group; no task sees a whole source.
+Place along a source is found from counts: of the sizes before, of the ids before within a size, and of the rows before
+within an id; no task sees a whole source. Equal rows are counted and stand for each other.
 
-Defined results: a null or blank text has size 0 and takes 0 words; a null source is one source, last in order; equal
-rows share an expectation and may differ by a copy; a source without words has target 0 and is not emitted; an empty
-table gives an empty result; further columns stay on emitted rows.
+Defined results: a null or blank text has size 0 and takes 0 words; a null source is one source, last in order; rows of
+equal id, source and size share their expectation and may differ by a copy; ``emit`` shares their copies out by a digest
+of the whole row; a source without words has target 0 and is not emitted; an empty table gives an empty result; further
+columns, of whatever name, stay on emitted rows.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, settle, small
+from .common import expanded, n_words, settle, skew_join, small, unused
 
 # Fixed values of the registered query: weights by place of the source, share of all words, and the cap.
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
-#: Documents of one source and size are numbered in so many groups at once.
+#: Ids of one source and size, and digests of one id, are numbered in so many groups at once.
 BUCKETS = 64
 
 
@@ -34,7 +35,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     With sources by cap over weight, those before some place stop at their caps and the rest share what is left: the
     first source whose cap holds its fair share of the rest begins that part.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # a row for each source
+    order = Window.orderBy(F.col("source").asc_nulls_last())  # a row of a few bytes for each source
     place = F.row_number().over(order) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("double")
     by = sizes.select("source", "total", weight.alias("weight"), (F.col("total") * F.lit(cap)).alias("most"))
@@ -56,46 +57,85 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(source, F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def copies(rows: DataFrame, seed: str = "mix", **kind) -> DataFrame:
-    """Add source_size, target and copies to settled rows of (doc_id, source, size)."""
-    rows = rows.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(BUCKETS)))
-    total = rows.groupBy("source").agg(F.sum("size").alias("total"))
+def _before(rows: DataFrame, within: list[str], by: list[Column]) -> Column:
+    """Rows counted in n before each one within a group."""
+    return F.coalesce(F.sum("n").over(Window.partitionBy(*within).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def placed(ids: DataFrame, seed: str = "mix", **kind) -> DataFrame:
+    """Add source_size, target, each (copies expected of a row), shift and start to settled (doc_id, source, size, n).
+
+    ``start`` counts the source's rows before these n. The order is by size, group of ids, and id, nulls last.
+    """
+    rows = ids.withColumns({"key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")), "bucket": F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(BUCKETS))})
+    per_bucket = rows.groupBy("key", "size", "bucket").agg(F.sum("n").alias("n"))
+    per_size = per_bucket.groupBy("key", "size").agg(F.sum("n").alias("n"))
+    sizes = per_size.select("key", "size", _before(per_size, ["key"], [F.col("size")]).alias("before_size"))
+    buckets = per_bucket.select("key", "size", "bucket", _before(per_bucket, ["key", "size"], [F.col("bucket")]).alias("before_bucket"))
+    total = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"))
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
-    per_bucket = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
-    per_size = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
-    prior = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = per_size.select(key.alias("key"), "size", prior("source", "size").alias("before_size"))
-    buckets = per_bucket.select(key.alias("key"), "size", "bucket", prior("source", "size", "bucket").alias("before_bucket"))
     goal = small(settle(targets(total, **kind).select(key.alias("key"), "source_size", "target")), 200)
-    place = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("doc_id"))
-    each = F.try_divide("target", "source_size").alias("each")
-    at = (F.col("before_size") + F.col("before_bucket") + F.col("place")).cast("double")
-    sums = (
-        buckets.join(sizes, ["key", "size"])
-        .join(goal, "key")
-        .select("key", "size", "bucket", "before_size", "before_bucket", "source_size", "target", each)
-    )
-    return (
-        rows.withColumn("key", key)
-        .withColumn("place", place)
-        .join(sums, ["key", "size", "bucket"])
-        .withColumn("shift", offset(F.col("source"), seed))
-        .withColumn("copies", F.coalesce(F.floor(at * F.col("each") + F.col("shift")) - F.floor((at - 1) * F.col("each") + F.col("shift")), F.lit(0)))
-        .drop("key", "bucket", "place", "before_size", "before_bucket", "each", "shift")
+    sums = buckets.join(sizes, ["key", "size"]).join(goal, "key").select("key", "size", "bucket", (F.col("before_size") + F.col("before_bucket")).alias("before"), "source_size", "target")
+    own = _before(rows, ["key", "size", "bucket"], [F.col("doc_id").asc_nulls_last()])
+    return rows.withColumn("own", own).join(sums, ["key", "size", "bucket"]).select(
+        "doc_id",
+        "source",
+        "size",
+        "n",
+        "source_size",
+        "target",
+        F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("each"),
+        offset(F.col("source"), seed).alias("shift"),
+        (F.col("before") + F.col("own")).alias("start"),
     )
 
 
+def crossed(first: Column, n: Column | int) -> Column:
+    """Integers that the shifted sum of expected copies crosses on n rows from a place on."""
+    at = lambda x: F.floor(x.cast("double") * F.col("each") + F.col("shift"))
+    return at(first + n) - at(first)
+
+
+def _sized(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")]
+
+
 def plan(docs: DataFrame, **kind) -> DataFrame:
     """doc_id, size, source, source_size, target, copies and words taken of each document."""
-    rows = settle(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text").cast("string")).alias("size")))
-    return copies(rows, **kind).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    ids = settle(docs.select(*_sized(docs)).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
+    rows = expanded(settle(placed(ids, **kind)), "n", "i").withColumn("copies", crossed(F.col("start") + F.col("i"), 1))
+    return rows.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emit(docs: DataFrame, **kind) -> DataFrame:
-    """The mixed documents, each as often as it is taken, with the columns that they had."""
-    wanted = plan(docs, **kind).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    out = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(docs["*"], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy"))
-    return out.drop("__copy")
+    """The mixed documents, each as often as it is taken, with the columns that they had.
+
+    Copies are decided on ids, sizes and a digest of the row, and joined back to the texts; equal rows are emitted
+    from one of them.
+    """
+    digest = F.xxhash64(*docs.columns)
+    rows = settle(docs.select(*_sized(docs), digest.alias("digest")).groupBy("doc_id", "source", "size", "digest").agg(F.count("*").alias("n")))
+    ids = settle(rows.groupBy("doc_id", "source", "size").agg(F.sum("n").alias("n")))
+    id_key = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(f"k_{c}") for c in ("doc_id", "source")]
+    places = placed(ids, **kind).select(*id_key, F.col("source").isNull().alias("k_null"), F.col("size").alias("k_size"), "each", "shift", "start")
+    keyed = rows.select("*", *id_key, F.col("source").isNull().alias("k_null"), F.col("size").alias("k_size"), F.pmod("digest", F.lit(BUCKETS)).alias("part"))
+    key = ["k_doc_id", "k_source", "k_null", "k_size"]
+    parts = keyed.groupBy(*key, "part").agg(F.sum("n").alias("n"))
+    parts = parts.withColumn("before", _before(parts, key, [F.col("part")])).drop("n")
+    own = keyed.withColumn("own", _before(keyed, [*key, "part"], [F.col("digest")])).join(parts, [*key, "part"])
+    decided = skew_join(settle(own), places, key, ["digest"]).select("doc_id", "digest", "n", crossed(F.col("start") + F.col("before") + F.col("own"), F.col("n")).alias("copies"))
+    wanted = settle(decided.where("copies > 0"))
+
+    k_id, k_digest, k_n, k_copies, k_copy = unused(docs, "quarry_id", "quarry_digest", "quarry_n", "quarry_copies", "quarry_copy")
+    with_keys = docs.withColumns({k_id: F.col("doc_id").cast("long"), k_digest: digest})
+    named = wanted.select(F.col("doc_id").alias(f"{k_id}w"), F.col("digest").alias(f"{k_digest}w"), F.col("n").alias(k_n), F.col("copies").alias(k_copies))
+    joined = with_keys.join(small(named, 40), (F.col(k_digest) == F.col(f"{k_digest}w")) & F.col(k_id).eqNullSafe(F.col(f"{k_id}w")))
+    copies = lambda df: df.withColumn(k_copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(k_copies)))).select(*docs.columns)
+    out = copies(joined.where(F.col(k_n) == 1))
+    if wanted.where("n > 1").isEmpty():
+        return out
+    repeated = joined.where(F.col(k_n) > 1).groupBy(k_id, k_digest).agg(F.first(F.struct(*docs.columns)).alias("row"), F.first(k_copies).alias("copies"))
+    return out.unionByName(expanded(settle(repeated.select("row", "copies")), "copies", "copy").select("row.*"))
 
 
 ORACLE = r"""

@@ -1,19 +1,25 @@
 """Secret scans over an incremental ledger of blobs, in DataFrame operations alone.
 
 Every version of every path is addressed by the SHA-256 of its content. Only pairs of a blob and a rule version
-that the ledger has not seen are scanned, each blob once however many paths hold it; the findings then go back
-to all paths by address.
+that the ledger has not seen are scanned, each blob once however many paths hold it; what was found is appended to
+the ledger, and the ledger's findings go back to all paths by address. A ledger is a folder of batches, and a batch
+counts once it is whole, so that a scan that failed leaves nothing behind but work to do again.
 
 Defined results: a null text is the empty blob; an empty blob has no findings; equal rows get equal findings;
-an empty table gives an empty result; a null path is kept as it is; columns other than the path and the text are
-ignored.
+a blob that a ledger holds more than once counts once; an empty table gives an empty result; a null path is kept as it
+is; columns other than the path and the text are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import discard, expanded, scratch, settle, skew_join
+
 #: The rules, in the order in which kinds at one start are listed. Each has its pattern and the least
 #: length of the group that counts.
 RULES = {
@@ -23,57 +29,98 @@ RULES = {
     "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
 }
 #: Changes with RULES; a ledger's entries of other versions are not reused.
-RULE_VERSION = "2"
-#: Paths of one blob are dealt to so many tasks.
-SALTS = 16
+RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:12]
+SPANS = "array<struct<start:int,nr:int,kind:string,end:int>>"
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """Array of (start, kind number, kind, end) of one rule's matches that are long enough.
+def _hits(text: Column, kind: str) -> Column:
+    """Array of (nr, i, gap, hit, val) for one rule: lengths of the piece before each match, of the match, and of what counts.
 
     Matches and the pieces between them are cut by the same pattern, so that their lengths add up to the starts.
     """
-    pattern, group, least = RULES[kind]
+    pattern, group, _ = RULES[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    none = F.expr("cast(array() as array<struct<start:int,nr:int,kind:string,end:int>>)")
-    state = "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,nr:int,kind:string,end:int>>))"
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), counted.alias("val"))
     nr = list(RULES).index(kind)
+    sizes = F.transform(
+        parts, lambda x, i: F.struct(F.lit(nr).alias("nr"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["val"]).alias("val"))
+    )
+    none = F.expr("cast(array() as array<struct<nr:int,i:int,gap:int,hit:int,val:int>>)")
+    return F.when(text.rlike(pattern), F.filter(sizes, lambda x: x["hit"].isNotNull())).otherwise(none)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(F.coalesce(x["hit"], F.lit("")))
-        one = F.array(F.struct(start.alias("start"), F.lit(nr).alias("nr"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["val"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    walked = F.aggregate(parts, F.expr(state), step)["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+def scan(blobs: DataFrame) -> DataFrame:
+    """Findings of blobs (blob, text), grouped by blob: blob, rule_version and spans by start, then kind.
 
+    Lengths are summed along each blob's matches of a rule, in time linear in the matches.
+    """
+    hits = blobs.select("blob", F.explode_outer(F.concat(*(_hits(F.col("text"), kind) for kind in RULES))).alias("x")).select("blob", "x.*")
+    along = Window.partitionBy("blob", "nr").orderBy("i")
+    ended = hits.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(along).cast("int"))
+    kinds, least = (F.array(*map(F.lit, x)) for x in (RULES, (r[2] for r in RULES.values())))
+    span = F.struct((F.col("end") - F.col("hit")).alias("start"), "nr", F.get(kinds, F.col("nr")).alias("kind"), "end")
+    good = F.when(F.col("val") >= F.get(least, F.col("nr")), span)
+    return ended.groupBy("blob").agg(F.lit(RULE_VERSION).alias("rule_version"), F.array_sort(F.collect_list(good)).cast(SPANS).alias("spans"))
 
-def scan(blobs: DataFrame) -> DataFrame:
-    """Findings of blobs (blob, text): blob, rule_version and spans by start, then kind."""
-    spans = F.array_sort(F.concat(*(_spans(F.col("text"), kind) for kind in RULES)))
-    return blobs.select("blob", F.lit(RULE_VERSION).alias("rule_version"), spans.alias("spans"))
 
+class Ledger:
+    """Batches of (blob, rule_version, spans) under one folder of the shared store."""
 
-def update(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The paths' findings and the blobs that the ledger lacked.
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
 
-    ``versions`` has a row for each historical version of a path. Returns (path, blob, spans) for all rows and
-    (blob, rule_version, spans) to append to the ledger.
-    """
+    def _batches(self) -> list[str]:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/_SUCCESS")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or ()
+        return sorted(x.getPath().getParent().toString() for x in found)
+
+    def read(self) -> DataFrame | None:
+        """What the ledger holds, or nothing."""
+        whole = self._batches()
+        return self.spark.read.schema(f"blob string, rule_version string, spans {SPANS}").parquet(*whole) if whole else None
+
+    def append(self, found: DataFrame) -> None:
+        """Add a batch."""
+        found.write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
+
+
+def known(ledger: DataFrame) -> DataFrame:
+    """One row for each blob of this rule version."""
+    return ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "spans").dropDuplicates(["blob"])
+
+
+def addressed(versions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, blob, text) of versions."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    held = versions.select(F.col(path).alias("path"), F.sha2(body, 256).alias("blob"), body.alias("text"))
-    unseen = held.select("blob", "text")
+    return versions.select(F.col(path).alias("path"), F.sha2(body, 256).alias("blob"), body.alias("text"))
+
+
+def unseen(held: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """Findings of the blobs of (path, blob, text) that a ledger lacks, each scanned once."""
+    blobs = held.select("blob", "text")
     if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    found = scan(unseen.groupBy("blob").agg(F.first("text").alias("text")))
-    known = found if ledger is None else found.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "spans"))
-    hits = known.where(F.size("spans") > 0).select("blob", "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = held.select("path", "blob", F.pmod(F.hash("path"), F.lit(SALTS)).alias("salt"))
-    none = F.expr("cast(array() as array<struct<start:int,nr:int,kind:string,end:int>>)")
-    return rows.join(hits, ["blob", "salt"], "left").select("path", "blob", F.coalesce("spans", none).alias("spans")), found
+        blobs = blobs.join(known(ledger).select("blob"), "blob", "left_anti")
+    return scan(blobs.groupBy("blob").agg(F.first("text").alias("text")))
+
+
+def to_paths(held: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(path, blob, spans): a ledger's findings for every row of (path, blob, ...), as often as the row is there."""
+    rows = settle(held.groupBy("path", "blob").agg(F.count("*").alias("n")))
+    hits = known(ledger).where(F.size("spans") > 0).select("blob", "spans")
+    found = settle(skew_join(rows, hits, ["blob"], ["path"], "left").select("path", "blob", "n", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans")))
+    discard(rows)
+    return expanded(found, "n", "copy").select("path", "blob", "spans")
+
+
+def update(versions: DataFrame, ledger: Ledger, path: str = "path", text: str = "text") -> DataFrame:
+    """Scan what the ledger lacks, append it, and return (path, blob, spans) for all rows.
+
+    ``versions`` has a row for each historical version of a path.
+    """
+    held = addressed(versions, path, text)
+    ledger.append(unseen(held, ledger.read()))
+    return to_paths(held, ledger.read())
 
 
 def joined(spans: Column) -> Column:
@@ -81,13 +128,22 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """Counts, digest and spans of each document."""
-    found, _ = update(docs, path="doc_id")
+_ledgers: dict[str, str] = {}
+
+
+def report(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
+    """Counts, digest and spans of each document; without a ledger, one that the session keeps in the shared folder."""
+    spark = docs.sparkSession
+    if ledger is None:
+        app = spark.sparkContext.applicationId
+        if app not in _ledgers:
+            _ledgers[app] = scratch(spark)
+        ledger = Ledger(spark, _ledgers[app])
+    found = update(docs, ledger, path="doc_id")
     base = ("assign", "access", "hex")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        F.col("path").alias("doc_id"),
+        F.col("path").cast("long").alias("doc_id"),
         *map(count, base),
         F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),

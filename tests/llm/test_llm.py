@@ -219,8 +219,33 @@ def test_mixing_meets_targets(docs, rows):
     assert all(abs(taken[s] - target[s]) <= largest[s] + 1 for s in total)
     assert sorted(map(str, got)) == sorted(map(str, mixing.plan(docs.repartition(3)).collect()))
     assert mixing.emit(docs).columns == docs.columns
-    emitted = Counter(r.doc_id for r in mixing.emit(docs).collect())
-    assert all(emitted[r.doc_id] == r.copies for r in got if r.doc_id not in (None, 300))
+    left = mixing.emit(docs).collect()
+    emitted, wanted = Counter(r.doc_id for r in left), Counter()
+    for r in got:
+        wanted[r.doc_id] += r.copies
+    assert emitted == +wanted
+    assert {(r.doc_id, r.text) for r in left} <= {(d, t) for d, t, *_ in rows}
+
+
+def test_mixing_of_repeated_rows_and_clashing_names(spark, monkeypatch):
+    """Copies of repeated ids, null ids and equal rows are shared out exactly, whatever the columns are called."""
+    monkeypatch.setattr(common, "CHUNK", 7)
+    rng = random.Random(13)
+    texts = [prose(rng, rng.choice([1, 5, 5, 9])) for _ in range(12)] + [None]
+    rows = [(rng.choice([1, 2, 300, None]), rng.choice(texts), rng.choice(["a", "b", None])) for _ in range(300)] + [(7, texts[0], "a")] * 40
+    names = ["__copies", "__copy", "__hot", "__salt", "__n", "quarry_copy", "copies", "n", "key", "row", "digest", "i"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{x} long" for x in names)).repartition(3)
+    wanted = Counter()
+    for r in mixing.plan(df).collect():
+        wanted[r.doc_id, r.size, r.source] += r.copies
+    out = mixing.emit(df)
+    assert out.columns == df.columns
+    left = out.collect()
+    assert Counter((r.doc_id, len(words(r.text)), r.source) for r in left) == +wanted
+    assert all(tuple(r)[3:] == tuple(range(len(names))) for r in left)
+    have = Counter(rows)
+    assert all(n <= 2 * have[d, t, x] for (d, t, x), n in Counter((r.doc_id, r.text, r.source) for r in left).items())
+    assert sorted(map(str, left)) == sorted(map(str, mixing.emit(df.repartition(2)).collect()))
 
 
 def test_language_is_learned_and_held_out(spark, docs, rows):
@@ -380,24 +405,29 @@ def test_quality_judges_small_tables_and_takes_no_reference_from_null(spark):
     assert got[200].word_distance is None
 
 
-def place(doc_id, n):
-    def draw(s):
-        if doc_id is None:
-            h = xxhash.xxh64_intdigest((s).to_bytes(4, "little"), 42)
-        else:
-            first = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42)
-            h = xxhash.xxh64_intdigest((s).to_bytes(4, "little"), first)
-        return -math.log(((h >> 11) + 0.5) * 2.0**-53)
+def place(doc_id, n, weights=None):
+    """(region, rack, shard), each by its own draw; a node goes by its first shard."""
+    weights = weights or [1.0] * n
+
+    def draw(level, node, weight):
+        first = xxhash.xxh64_intdigest((level).to_bytes(4, "little"), 42 if doc_id is None else xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42))
+        return -math.log(((xxhash.xxh64_intdigest((node).to_bytes(4, "little"), first) >> 11) + 0.5) * 2.0**-53) / weight
 
-    return min(range(n), key=draw)
+    racks = [range(i, min(i + 4, n)) for i in range(0, min(n, 16), 4)]
+    regions = [racks[i : i + 2] for i in range(0, len(racks), 2)] + [[range(s, s + 1)] for s in range(16, n)]
+    region = min(regions, key=lambda x: draw(0, x[0][0], sum(weights[s] for rack in x for s in rack)))
+    rack = min(region, key=lambda x: draw(1, x[0], sum(weights[s] for s in x))) if len(region) > 1 else region[0]
+    leaf = min(rack, key=lambda s: draw(2, s, weights[s])) if len(rack) > 1 else rack[0]
+    return region[0][0], rack[0], leaf
 
 
-def test_shards_follow_the_tree(docs, rows):
-    got = shards.assign(docs).collect()
+def test_shards_follow_the_tree(docs, rows, monkeypatch):
+    monkeypatch.setattr(common, "CHUNK", 2)
+    got = shards.assign(docs.withColumn("doc_id", F.col("doc_id").cast("int"))).collect()
     assert sorted(str((r.doc_id, r["size"], r.text_crc32)) for r in got) == sorted(str((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))) for d, t, *_ in rows)
     for r in got:
-        assert r.shard == place(r.doc_id, 16)
-        assert r.grown_shard == place(r.doc_id, 17)
+        assert r.shard == place(r.doc_id, 16)[2]
+        assert r.grown_shard == place(r.doc_id, 17)[2]
         assert r.grown_shard in (r.shard, 16)
         assert r.law == "key"
     slots = {}
@@ -406,14 +436,46 @@ def test_shards_follow_the_tree(docs, rows):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
+def test_growth_takes_rows_only_into_the_new_shard(spark):
+    df = spark.range(4000).withColumnRenamed("id", "doc_id")
+    for n in range(16, 20):
+        df = shards.shard(df, "doc_id", n, f"s{n}")
+    got = df.collect()
+    for n in range(17, 20):
+        assert all(r[f"s{n}"] in (r[f"s{n - 1}"], n - 1) for r in got)
+        assert abs(sum(r[f"s{n}"] == n - 1 for r in got) / 4000 - 1 / n) < 0.02
+    assert all(abs(x / 4000 - 1 / 16) < 0.02 for x in Counter(r.s16 for r in got).values())
+
+
+def test_the_tree_decides_and_is_no_flat_draw(spark):
+    """Taking the least of all shards' draws, as without racks and regions, gives other shards."""
+    ids = range(2000)
+
+    def flat(doc_id):
+        return min(range(16), key=lambda s: -math.log(((xxhash.xxh64_intdigest((s).to_bytes(4, "little"), xxhash.xxh64_intdigest((2).to_bytes(4, "little"), xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little"), 42))) >> 11) + 0.5) * 2.0**-53))
+
+    got = {r.doc_id: r.s for r in shards.shard(spark.range(2000).withColumnRenamed("id", "doc_id"), "doc_id", 16, "s").collect()}
+    assert sum(got[i] != flat(i) for i in ids) > 1000
+    assert all(got[i] == place(i, 16)[2] for i in ids)
+
+
 def test_weights_move_rows_within_the_changed_subtree(spark):
     df = spark.range(3000).withColumnRenamed("id", "doc_id")
     heavy = [1.0] * 16
     heavy[5] = 3.0
-    both = shards.shard(shards.shard(df, "doc_id", 16, "a"), "doc_id", 16, "b", heavy).collect()
-    assert all(r.a == r.b or r.b == 5 for r in both)
-    share = sum(r.b == 5 for r in both) / 3000
-    assert abs(share - 3 / 18) < 0.03
+    got = {r.doc_id: r.b for r in shards.shard(df, "doc_id", 16, "b", heavy).collect()}
+    for i in range(3000):
+        before, after = place(i, 16), place(i, 16, heavy)
+        assert got[i] == after[2]
+        if before[0] != after[0]:
+            assert after[0] == 0  # the region that holds shard 5
+        elif before[1] != after[1]:
+            assert after[1] == 4  # its rack
+        elif before[2] != after[2]:
+            assert after[2] == 5
+    assert abs(sum(s == 5 for s in got.values()) / 3000 - 3 / 18) < 0.03
+    empty = [1.0] * 8 + [0.0] * 4 + [1.0] * 4
+    assert not {r.c for r in shards.shard(df, "doc_id", 16, "c", empty).collect()} & {8, 9, 10, 11}
 
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -443,16 +505,31 @@ def test_secrets_equal_brute_force(spark, docs, rows):
     assert spans[500] == "assign:2:19"
 
 
-def test_ledger_scans_only_unseen_blobs(spark):
+def test_ledger_scans_only_unseen_blobs(spark, tmp_path):
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.read() is None
     first = spark.createDataFrame([("a", "token=abcdefgh1"), ("b", "token=abcdefgh1"), ("c", "clean")], "path string, text string")
-    _, seen = secrets.update(first)
-    assert seen.count() == 2
+    assert sorted((r.path, len(r.spans)) for r in secrets.update(first, ledger).collect()) == [("a", 1), ("b", 1), ("c", 0)]
+    assert ledger.read().count() == 2
     second = first.unionByName(spark.createDataFrame([("c", "secret=abcdefgh1"), ("d", None)], "path string, text string"))
-    found, fresh = secrets.update(second, seen)
-    assert fresh.count() == 2
+    fresh = secrets.unseen(secrets.addressed(second), ledger.read()).collect()
+    assert sorted(r.blob for r in fresh) == sorted(hashlib.sha256(x).hexdigest() for x in (b"secret=abcdefgh1", b""))
+    found = secrets.update(second, ledger)
     assert sorted((r.path, len(r.spans)) for r in found.collect()) == [("a", 1), ("b", 1), ("c", 0), ("c", 1), ("d", 0)]
-    _, again = secrets.update(second, seen.unionByName(fresh))
-    assert again.count() == 0
+    assert secrets.unseen(secrets.addressed(second), ledger.read()).count() == 0
+    ledger.append(ledger.read())  # blobs that the ledger holds twice count once
+    ledger.append(ledger.read().withColumn("rule_version", F.lit("other")))
+    assert sorted((r.path, len(r.spans)) for r in secrets.update(second, ledger).collect()) == [("a", 1), ("b", 1), ("c", 0), ("c", 1), ("d", 0)]
+    (tmp_path / "ledger" / "batch-torn").mkdir()  # a batch without its mark of success does not count
+    assert len(ledger._batches()) == 5
+
+
+def test_what_the_ledger_says_is_not_scanned_again(spark, tmp_path):
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    docs = spark.createDataFrame([(1, "token=abcdefgh1"), (2, "clean")], "doc_id long, text string")
+    blob = hashlib.sha256(b"token=abcdefgh1").hexdigest()
+    ledger.append(spark.createDataFrame([(blob, secrets.RULE_VERSION, [])], f"blob string, rule_version string, spans {secrets.SPANS}"))
+    assert {r.doc_id: r.n_assign for r in secrets.report(docs, ledger).collect()} == {1: 0, 2: 0}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
@@ -479,6 +556,96 @@ def test_html_keeps_the_article_only(spark):
     assert html.articles(df.where("false")).count() == 0
 
 
+def sentences(rng, n):
+    return " ".join(rng.choice("stone river walked under the old bridge and then home again while rain fell".split()) for _ in range(n)) + "."
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "has-sidebar", "no-banner", "ad-free", "share-enabled", "side-by-side", "comment-open", "related-posts-on", "sidebar", "ad", "comments", "share"])
+def test_html_names_do_not_cut_the_article(name):
+    rng = random.Random(4)
+    paragraphs = [sentences(rng, 60) for _ in range(6)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    for head in ("", "<h1>Head line</h1>"):
+        page = f'<html><body><div class="{name}">{head}{body}</div><div>Short one.</div></body></html>'
+        assert html.extract(page) == "\n\n".join((["Head line"] if head else []) + paragraphs)
+
+
+def test_html_cuts_what_stands_beside_the_article():
+    rng = random.Random(5)
+    article = [sentences(rng, 40) for _ in range(3)]
+    comments = "".join(f'<div class="comment"><p>{sentences(rng, 40)}</p></div>' for _ in range(12))
+    beside = '<nav><a href="/">Home</a> menu words</nav><div id="cookie-notice"><p>We use cookies for this and that.</p></div><ul class="breadcrumbs"><li><a href="/a">A</a></li></ul>'
+    after = f'<div class="newsletter-form"><form>Mail <input></form></div><section class="comment-list">{comments}</section><div class="related-posts"><a href="/b">Other</a></div><footer>foot words</footer>'
+    for around in ("<div>{}</div>", "<main><div>{}</div></main>", "<article>{}</article>", "<div class='page with-sidebar'><div class='text'>{}</div></div>"):
+        page = f"<html><body><header><p>Site name</p></header>{beside}{around.format(''.join(f'<p>{p}</p>' for p in article))}{after}</body></html>"
+        assert html.extract(page) == "\n\n".join(article)
+    inside = f"<html><body><article><p>{article[0]}</p><div class='share-buttons'>Share this</div><p>{article[1]}</p>{comments}</article></body></html>"
+    assert html.extract(inside) == "\n\n".join(article[:2])
+
+
+def test_html_density_chooses(monkeypatch):
+    """Without names or tags that say anything, dense text wins over links; with the whole body taken, this fails."""
+    rng = random.Random(6)
+    article = [sentences(rng, 50) for _ in range(4)]
+    links = "".join(f'<div><a href="/{i}">{sentences(rng, 6)}</a></div>' for i in range(30))
+    page = f"<html><body><div><div>{links}</div><div>{''.join(f'<p>{p}</p>' for p in article)}</div><div>{links}</div></div></body></html>"
+    assert html.extract(page) == "\n\n".join(article)
+    monkeypatch.setattr(html, "content", lambda nodes: nodes[:1])
+    assert html.extract(page) != "\n\n".join(article)
+
+
+def test_html_densities_equal_brute_force():
+    """Every node's composite density and density sum from their definition, on random trees without names."""
+    rng = random.Random(8)
+    for _ in range(60):
+
+        def tree(depth):
+            kids = [tree(depth + 1) if rng.random() < 0.6 and depth < 5 else "x" * rng.randrange(1, 40) for _ in range(rng.randrange(1, 4))]
+            return rng.choice(["div", "section", "a", "span", "div"]), kids
+
+        def text(node):
+            return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(text, node[1]))}</{node[0]}>"
+
+        def chars(node):
+            return len(node) if isinstance(node, str) else sum(map(chars, node[1]))
+
+        def tags(node):
+            return 0 if isinstance(node, str) else sum(tags(k) + (not isinstance(k, str)) for k in node[1])
+
+        def links(node, what):
+            if isinstance(node, str):
+                return 0
+            if node[0] == "a":
+                return chars(node) if what == "chars" else 1 + tags(node)
+            return sum(links(k, what) for k in node[1])
+
+        body = ("body", [tree(0) for _ in range(3)])
+        if "<a>" in text(body) and re.search(r"<a>(?:(?!</a>).)*<a>", text(body)):
+            continue  # links within links
+        share = links(body, "chars") / max(1, chars(body))
+
+        def density(node):
+            c, t, lc, lt = chars(node), max(1, tags(node)), max(1, links(node, "chars")), max(1, links(node, "tags"))
+            if not c:
+                return 0.0
+            base = math.log(c / max(1, c - links(node, "chars")) * lc + share * c + math.e)
+            return max(0.0, c / t * math.log(c * t / (lc * lt), base))
+
+        def flat(node):
+            return [] if isinstance(node, str) else [node, *(x for k in node[1] for x in flat(k))]
+
+        want = [(n[0], density(n), sum(density(k) for k in n[1] if not isinstance(k, str))) for n in flat(body)]
+        nodes = html.body_of(f"<html>{text(body)}</html>")
+        html.weigh(nodes)
+        html.measure(nodes)
+        assert [x.tag for x in nodes] == [w[0] for w in want]
+        for x, (_, d, total) in zip(nodes, want, strict=True):
+            assert math.isclose(x.density, d, rel_tol=1e-9, abs_tol=1e-9)
+            assert math.isclose(x.total, total, rel_tol=1e-9, abs_tol=1e-9)
+        best = max(w[2] for w in want)
+        assert html.densest(nodes) is nodes[next(i for i, w in enumerate(want) if math.isclose(w[2], best, rel_tol=1e-12)) if best else 0]
+
+
 def test_html_of_the_tables_equals_a_plain_reading(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect()
     for r in rows:
