@@ -310,7 +310,10 @@ def test_substrings_of_overlapping_repeats(spark):
     assert sorted(map(str, got)) == sorted(map(str, removed(rows)))
 
 
-def test_decontamination_catches_reordered_passages(spark, docs, rows):
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_decontamination_catches_reordered_passages(spark, docs, rows, limit, monkeypatch):
+    """With the index sent whole, and with seeds joined."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
     item = [f"q{i}" for i in range(40)]
     edited = [*item[:20], "zz", *item[21:]]
     cases = {
@@ -338,10 +341,87 @@ def test_decontamination_catches_reordered_passages(spark, docs, rows):
     assert not any(r.contaminated for r in decontaminate.leaks(docs, empty).collect())
 
 
-def test_tiles_do_not_overlap():
-    assert decontaminate.tile([list("abcabc")], list("abcabcabc")) == 6
-    assert decontaminate.tile([list("abcdef"), list("cdefgh")], list("abcdefgh")) == 6
-    assert decontaminate.tile([list("ab")], list("ab")) == 0
+def tiled(text, item, least=3):
+    """Greedy string tiling, one longest match of all at a time; the first in the item, then in the text, of equal ones."""
+    used_t, used_i, total = [False] * len(text), [False] * len(item), 0
+    while True:
+        best = (least - 1, 0, 0)
+        for j in range(len(item)):
+            for i in range(len(text)):
+                n = 0
+                while j + n < len(item) and i + n < len(text) and item[j + n] == text[i + n] and not used_i[j + n] and not used_t[i + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, j, i)
+        n, j, i = best
+        if n < least:
+            return total
+        used_i[j : j + n] = used_t[i : i + n] = [True] * n
+        total += n
+
+
+def test_tiles_equal_brute_force():
+    assert decontaminate.tile(list("abcabc"), list("abcabcabc")) == 6
+    assert decontaminate.tile(list("ab"), list("ab")) == decontaminate.tile([], []) == 0
+    rng = random.Random(12)
+    for k in range(400):
+        letters = "abcdefgh"[: rng.choice([1, 2, 3, 8])]
+        text, item = ([rng.choice(letters) for _ in range(rng.randrange(0, 40))] for _ in range(2))
+        if k % 2 and len(item) > 6:
+            cut = rng.randrange(3, len(item) - 2)
+            text[:0] = item[cut:] + ["z"] + item[:cut]
+        assert decontaminate.tile(text, item) == tiled(text, item)
+
+
+def test_tiling_of_long_equal_words_is_fast():
+    import time
+
+    began = time.perf_counter()
+    assert decontaminate.tile(["a"] * 20000, ["a"] * 5000) == 5000
+    assert decontaminate.tile(["a", "b"] * 10000, (["a", "b"] * 50 + ["c"]) * 30) == 3000
+    assert time.perf_counter() - began < 3
+
+
+def test_rolling_hashes_decide(monkeypatch):
+    """Runs are found by their hashes alone: with hashes that never agree, there are no tiles."""
+    import numpy as np
+
+    assert decontaminate.tile(list("abcdef"), list("abcdef")) == 6
+    roll = decontaminate.Rolling(np.array([5, 6, 7, 5, 6, 7, 5], np.uint64))
+    assert (roll.runs(np.array([0, 1]), 3) == roll.runs(np.array([3, 4]), 3)).all()
+    assert roll.runs(np.array([0]), 3) != roll.runs(np.array([1]), 3)
+    monkeypatch.setattr(decontaminate.Rolling, "runs", lambda self, at, n: at.astype(np.uint64) + np.uint64(len(self.sums) << 20 if n else 0) + np.uint64(id(self) % 1000 << 40))
+    assert decontaminate.tile(list("abcdef"), list("abcdef")) == 0
+
+
+def test_leaks_equal_brute_force_by_either_way(spark, monkeypatch):
+    """Random documents cut from random items, a seed that all items share, and equal ids with other texts."""
+    rng = random.Random(21)
+    shared = [f"s{i}" for i in range(6)]
+    items = [(i % 13, shared + [rng.choice("abcdefghijklmnop") for _ in range(rng.choice([2, 10, 30]))]) for i in range(15)]
+    docs = []
+    for i in range(60):
+        own = list(rng.choice(items)[1])
+        for _ in range(rng.choice([0, 1, 4, 12])):
+            own[rng.randrange(len(own))] = rng.choice("abcxyz")
+        cut = rng.randrange(len(own))
+        docs.append((rng.choice([i, 5, None]), " ".join([rng.choice("uvwxyz") for _ in range(rng.randrange(30))] + own[cut:] + ["q"] + own[:cut])))
+    want = []
+    for d, t in docs:
+        ws = t.split()
+        seeds = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+        hit = [(k, tiled(ws, x) / len(x)) for k, x in items if seeds & {tuple(x[i : i + 5]) for i in range(len(x) - 4)}]
+        hit = [(k, c) for k, c in hit if c >= 0.8]
+        want.append((d, bool(hit), sorted(k for k, _ in hit), round(max((c for _, c in hit), default=0.0), 9)))
+    assert 5 < sum(w[1] for w in want) < 55
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    for limit in (16 << 20, 0):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        got = [(r.doc_id, r.contaminated, r.item_ids, round(r.coverage, 9)) for r in decontaminate.leaks(df, bench).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        left = Counter((r.doc_id, r.text) for r in decontaminate.clean(df, bench).collect())
+        assert left == Counter((d, t) for (d, t), w in zip(docs, want, strict=True) if not w[1])
 
 
 def base(text):
