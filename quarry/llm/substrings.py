@@ -1,11 +1,15 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-Every document is cut into blocks at content-defined anchors: of each window of W words, the run of Q words with the
-least hash is its anchor, and consecutive windows of one anchor form a block. All documents' blocks are indexed as
-references, by anchor and then by their whole content. A document is parsed into factors greedily: a block that
-stands anywhere else extends the current factor as a whole; at factor boundaries, where the anchor stands elsewhere
-but the block does not, single windows are checked against those of all references with that anchor. A factor is
-long enough if it has a whole window; its words become a duplicate span.
+All documents stand in one space of addresses, each at the hash of its row and its windows of W words one after the
+other. Every document is cut into blocks at content-defined anchors: of each window, the run of Q words with the least hash is
+its anchor, and consecutive windows of one anchor form a block, so that each window is in one block. The blocks are
+indexed as references, by anchor and whole content, with the least address at which each stands.
+
+A document is parsed into factors greedily: a factor starts at a block that the index holds elsewhere and takes
+block after block while the next one stands next in the same reference; where it does not, a new factor begins. Blocks hold
+whole windows, so a factor has W words or more, and its words become a duplicate span. Factors end at blocks that stand nowhere else as a
+whole. Where such a block's anchor is known, its windows are checked one by one against those of all references with
+that anchor, and those found extend the factors.
 
 Equal windows have equal anchors at equal places, so each repeated window is found, wherever the block around it
 ends, and each is found by content (two independent 64-bit hashes must agree).
@@ -21,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, WordHashes, batches, settle, skew_join, window_hashes
+from .common import BROADCAST_BYTES, WordHashes, batches, discard, settle, skew_join, window_hashes
 
 W, Q = 35, 8
 
@@ -100,42 +104,76 @@ def _with_texts(docs: DataFrame, marks: DataFrame, row_bytes: int, how: str) ->
     return docs.join(F.broadcast(marks) if row_bytes <= BROADCAST_BYTES else marks, "rid", how)
 
 
-def _runs(rows: DataFrame) -> DataFrame:
-    """(rid, runs): stretches of windows (rid, first, last) that touch, merged, as first << 32 | last.
+def factors(blocks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Greedy factors (first window, last window, reference) of a document's blocks that stand elsewhere, in order.
 
-    Windows and groups are all of one document, so rows move once.
+    A factor goes on as long as the document's next block is the next one and stands next in the reference as well.
     """
-    order = Window.partitionBy("rid").orderBy("first", "last")
-    end = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begun = rows.withColumn("new", F.coalesce(F.col("first") > end + 1, F.lit(True)).cast("int"))
-    numbered = begun.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    merged = numbered.groupBy("rid", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return merged.groupBy("rid").agg(F.collect_list(F.shiftleft("first", 32).bitwiseOR(F.col("last"))).alias("runs"))
+    out: list[tuple[int, int, int]] = []
+    for first, last, ref in blocks:
+        if out:
+            begun, end, where = out[-1]
+            if first == end + 1 and ref - where == first - begun:
+                out[-1] = (begun, last, where)
+                continue
+        out.append((first, last, ref))
+    return out
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """(rid, runs): factors of (rid, blocks) and single windows of (rid, ..., windows), merged, as first << 32 | last."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out = []
+            for blocks, windows in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                found = factors(sorted((b["first"], b["last"], b["ref"]) for b in blocks))
+                merged: list[list[int]] = []
+                for first, last in sorted([*((f, e) for f, e, _ in found), *((w, w) for w in windows)]):
+                    if merged and first <= merged[-1][1] + 1:
+                        merged[-1][1] = max(merged[-1][1], last)
+                    else:
+                        merged.append([first, last])
+                out.append([first << 32 | last for first, last in merged])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["rid", "runs"])
+
+    return rows.select("rid", "blocks", "windows").mapInArrow(run, "rid long, runs array<bigint>")
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(rid, runs): for documents (rid, text) with duplicates, runs of duplicated windows as first << 32 | last."""
+    """(rid, runs): for documents (rid, text) with duplicates, runs of duplicated windows as first << 32 | last.
+
+    Lists of blocks and windows are sets of one document's, however many equal rows it has.
+    """
     found = settle(index(docs))
     refs = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     near = settle(skew_join(found, refs, ["anchor"], ["rid", "pos"]))
-    own = F.xxhash64("rid", "pos")
-    blocks_of = near.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(own).alias("chosen"))
+    discard(found)
+    first = F.shiftright("pos", 16)
+    address = F.col("rid") + first
+    blocks_of = near.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(address).alias("least"), F.max(address).alias("most"))
     varied = blocks_of.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").withColumn("varied", F.lit(True)).drop("k")
     whole = blocks_of.where("n > 1").drop("n").join(varied, "anchor", "left")
-    judged = settle(skew_join(near, whole, ["anchor", "block"], ["rid", "pos"], "left"))
-    first = F.shiftright("pos", 16)
-    dup = judged.where("chosen is not null").select("rid", first.alias("first"), (first + F.shiftright("pos", 8).bitwiseAND(F.lit(255))).alias("last"))
+    judged = settle(skew_join(near, whole, ["anchor", "block"], ["rid", "pos"], "left").select("rid", "pos", "least", "most", "varied"))
+    discard(near)
+    last = first + F.shiftright("pos", 8).bitwiseAND(F.lit(255))
+    ref = F.when(F.col("least") == address, F.col("most")).otherwise(F.col("least"))
+    dup = judged.where("least is not null").select("rid", F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), ref.alias("ref")).alias("block"), F.lit(None).cast("long").alias("at"))
     check = settle(
-        judged.where("chosen is null or (varied and chosen = xxhash64(rid, pos))")
+        judged.where(F.col("least").isNull() | (F.col("varied") & (F.col("least") == address)))
         .groupBy("rid")
-        .agg(F.collect_list(F.when(F.col("chosen").isNull(), F.col("pos"))).alias("single"), F.collect_list(F.when(F.col("chosen").isNotNull(), F.col("pos"))).alias("repeated"))
+        .agg(F.collect_set(F.when(F.col("least").isNull(), F.col("pos"))).alias("single"), F.collect_set(F.when(F.col("least").isNotNull(), F.col("pos"))).alias("repeated"))
     )
     size = check.agg(F.sum(F.lit(64) + 8 * (F.size("single") + F.size("repeated")))).first()[0] or 0
     windows = settle(boundary_windows(_with_texts(docs, check, size, "inner").select("rid", "text", "single", "repeated")))
+    discard(check)
     twice = windows.groupBy("anchor", "window").agg(F.sum("n").alias("all")).where("`all` > 1").drop("all")
     once = settle(windows.where("n = 1").drop("n"))
-    more = skew_join(once, twice, ["anchor", "window"], ["rid", "at"]).select("rid", F.col("at").alias("first"), F.col("at").alias("last"))
-    return settle(_runs(dup.unionByName(more)))
+    more = skew_join(once, twice, ["anchor", "window"], ["rid", "at"]).select("rid", F.lit(None).cast(dup.schema["block"].dataType).alias("block"), "at")
+    grouped = dup.unionByName(more).groupBy("rid").agg(F.collect_set("block").alias("blocks"), F.collect_set("at").alias("windows"))
+    out = settle(parsed(grouped))
+    discard(judged, windows, once)
+    return out
 
 
 def covered(n: int, runs: list[int]) -> np.ndarray:
@@ -148,8 +186,9 @@ def covered(n: int, runs: list[int]) -> np.ndarray:
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
+    # the address of a document: half the range, so that no window's address leaves it
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.shiftright(F.xxhash64(F.col("doc_id").cast("long"), text), 1).alias("rid"))
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"

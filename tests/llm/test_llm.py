@@ -310,6 +310,25 @@ def test_substrings_of_overlapping_repeats(spark):
     assert sorted(map(str, got)) == sorted(map(str, removed(rows)))
 
 
+def test_factors_are_greedy_and_follow_one_reference():
+    blocks = [(0, 9, 500), (10, 12, 510), (13, 20, 513), (21, 30, 90), (40, 45, 109), (46, 47, 115), (48, 60, 7)]
+    assert substrings.factors(blocks) == [(0, 20, 500), (21, 30, 90), (40, 47, 109), (48, 60, 7)]
+    assert substrings.factors([]) == []
+
+
+def test_removal_goes_by_the_parse(spark, monkeypatch):
+    """Two copies of a long text parse into one factor each; without the factors, nothing of it is removed."""
+    rng = random.Random(3)
+    copy = prose(rng, 400)
+    df = spark.createDataFrame([(1, copy), (2, "before it " + copy + " and after"), (3, prose(rng, 300))], "doc_id long, text string")
+    rows = substrings.spans(substrings._prepared(df)).collect()
+    assert len(rows) == 2
+    assert all(len(r.runs) == 1 for r in rows)
+    assert {r.doc_id: r.n_removed for r in substrings.report(df).collect()} == {1: len(words(copy)), 2: len(words(copy)), 3: 0}
+    monkeypatch.setattr(substrings, "factors", lambda blocks: [])
+    assert sum(r.n_removed for r in substrings.report(df).collect()) < len(words(copy))
+
+
 @pytest.mark.parametrize("limit", [16 << 20, 0])
 def test_decontamination_catches_reordered_passages(spark, docs, rows, limit, monkeypatch):
     """With the index sent whole, and with seeds joined."""
