@@ -278,6 +278,75 @@ def test_held_out_labels_are_not_learned(spark):
     assert langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string")).predict("abc") == ("und", 0.0)
 
 
+def test_ftrl_equals_plain_python():
+    """The learner's weights after each step, cell by cell, from the published update."""
+    import numpy as np
+
+    rng = random.Random(19)
+    machine, z, n = langid.Ftrl(3), Counter(), Counter()
+
+    def weight(i, k):
+        if abs(z[i, k]) <= langid.L1:
+            return 0.0
+        return -(z[i, k] - math.copysign(langid.L1, z[i, k])) / ((langid.BETA + math.sqrt(n[i, k])) / langid.ALPHA + langid.L2)
+
+    for _ in range(150):
+        label = rng.randrange(3)
+        cells = sorted(rng.sample(range(label * 20, label * 20 + 40), 8))
+        x = [rng.random() for _ in cells]
+        machine.learn(np.array(cells, np.int32), np.array(x), label)
+        at, xs = [*cells, langid.CELLS], [*x, 1.0]
+        scores = [sum(v * weight(i, k) for i, v in zip(at, xs, strict=True)) for k in range(3)]
+        top = max(scores)
+        p = [math.exp(s - top) for s in scores]
+        p = [v / sum(p) for v in p]
+        held = {(i, k): weight(i, k) for i in at for k in range(3)}
+        for i, v in zip(at, xs, strict=True):
+            for k in range(3):
+                g = v * (p[k] - (k == label))
+                z[i, k] += g - (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / langid.ALPHA * held[i, k]
+                n[i, k] += g * g
+    got = machine.weights(slice(None))
+    for i in [*range(80), langid.CELLS]:
+        for k in range(3):
+            assert math.isclose(got[i, k], weight(i, k), rel_tol=1e-9, abs_tol=1e-12)
+    seen = sum(1 for key in n if n[key])
+    assert 0 < np.count_nonzero(got) < seen  # the first penalty prunes
+
+
+def test_temperature_is_the_best_and_finite():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    labels = rng.integers(0, 3, 200)
+    clear = np.eye(3)[labels] * 5000 + rng.normal(size=(200, 3))
+    noisy = np.eye(3)[labels] + rng.normal(size=(200, 3)) * 40
+    for scores in (clear, noisy, np.eye(3)[labels] * 0.001):
+        heat = langid.temperature(scores, labels)
+
+        def loss(t):
+            p = langid.softmax(scores / t)
+            wanted = np.full(p.shape, 1 / 203) + np.eye(3)[labels] * 200 / 203
+            return -(wanted * np.log(np.maximum(p, 1e-300))).sum(1).mean()
+
+        assert loss(heat) <= min(loss(heat * 1.05), loss(heat / 1.05)) + 1e-9
+    assert langid.temperature(np.empty((0, 3)), np.empty(0, int)) == 1.0
+
+
+def test_only_weighted_cells_are_kept(spark):
+    rng = random.Random(6)
+    tongues = {"xx": "abcdefgh", "yy": "ghijklmn"}
+    texts = [(i, " ".join("".join(rng.choice(tongues[k]) for _ in range(5)) for _ in range(40)), k) for i, k in enumerate(list(tongues) * 60)]
+    model = langid.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    seen = {c for _, t, _ in texts for c in langid.grams(t)[0].tolist()}
+    assert 0 < len(model.weights) < 0.8 * len(seen)
+    cells, counts = langid.grams(texts[0][1])
+    dense = [sum(v * model.weights[model.row[c]][k] for c, v in zip(cells.tolist(), langid.weigh(cells, counts, model.idf).tolist(), strict=True) if model.row[c] >= 0) + model.intercepts[k] for k in range(2)]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(model.scores(cells, counts), dense, strict=True))
+    heat = model.heat
+    assert 1e-9 < heat < 1e9
+
+
 def removed(rows, w=35):
     seen = Counter()
     for _, t, *_ in rows:
@@ -494,14 +563,59 @@ def test_quality_judges_small_tables_and_takes_no_reference_from_null(spark):
     rng = random.Random(3)
     clean = [(i, " ".join(rng.choice(["the", "of", "river", "stone", "and", "walked", "is", "home"]) for _ in range(60)), "en") for i in range(15)]
     junk = " ".join(f"{rng.random():.2f}$%" for _ in range(45))
-    table = [*clean, (100, junk, "en"), *((200 + i, junk, None) for i in range(30))]
+    greek = " ".join(rng.choice("το ποτάμι και η πέτρα είναι σπίτι, δρόμος. νερό".split()) for _ in range(80))
+    table = [*clean, (100, junk, "en"), *((200 + i, junk, rng.choice([None, "und", ""])) for i in range(30)), *((300 + i, clean[i][1], None) for i in range(5)), (400, greek, None)]
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()}
-    assert all(got[i].kept for i in range(15))
+    assert all(got[i].kept for i in [*range(15), *range(300, 305), 400])
+    assert not any(got[i].kept for i in [100, *range(200, 230)])
     assert not got[100].base_failed
-    assert not got[100].kept
-    assert got[200].kept
-    assert got[200].char_distance is None
     assert got[200].word_distance is None
+    alone = quality.judge(spark.createDataFrame(table[16:], "doc_id long, text string, lang string")).collect()
+    assert all(r.char_distance is None and r.kept for r in alone)
+
+
+def test_quality_distances_equal_brute_force(spark, docs, rows):
+    """Histograms, references and Jensen-Shannon distances from their definitions, in plain Python."""
+
+    def char_class(c):
+        if c < "\x80":
+            return "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "space" if c.isspace() else "stop" if c in ".,;:'\"-?()" else "symbol"
+        return "letter" if c.isalpha() else "other"
+
+    def blind(h):
+        out = Counter()
+        for k, n in h.items():
+            if k != "space":
+                out["letter" if k in ("lower", "upper") else k] += n
+        return out
+
+    def cell(w):
+        return xxhash.xxh64_intdigest(w.strip(".,;:!?\"'()").lower().encode()) >> 48
+
+    def distance(p, q):
+        p, q = ({k: n / sum(x.values()) for k, n in x.items()} for x in (p, q))
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+        return math.sqrt(max(0, sum(sum(n * math.log2(n / m[k]) for k, n in x.items() if n) for x in (p, q)) / 2))
+
+    more = [(5000, "𠀀😀 " * 120, None, None), (5001, "ab 𠀀 cd " * 90, "xx", None)]
+    chars, cells = {}, {}
+    for _, t, lang, _ in rows + more:
+        if t and lang:
+            chars.setdefault(lang, Counter()).update(map(char_class, t))
+            cells.setdefault(lang, Counter()).update(map(cell, words(t)))
+    common = {lang: [k for k, _ in sorted(x.items(), key=lambda y: (-y[1], y[0]))[: quality.COMMON]] for lang, x in cells.items()}
+    fold = lambda lang, x: Counter({k: sum(n for y, n in x.items() if (y if y in common[lang] else None) == k) for k in [*common[lang], None]})
+    want = []
+    for d, t, lang, _ in rows + more:
+        h, w = Counter(map(char_class, t or "")), Counter(map(cell, words(t)))
+        c = min((distance(h, x) if lang else distance(blind(h), blind(x)) for x in chars.values()), default=None) if len(t or "") >= 200 else None
+        v = min(distance(fold(x, w), fold(x, cells[x])) for x in cells) if lang and len(words(t)) >= 40 else None
+        want.append((d, c and round(c, 9), v and round(v, 9)))
+    df = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(r[0], r[1], r[2]) for r in more], "doc_id long, text string, lang string"))
+    got = [(r.doc_id, r.char_distance and round(r.char_distance, 9), r.word_distance and round(r.word_distance, 9)) for r in quality.judge(df).collect()]
+    assert sum(w[1] is not None for w in want) > 20
+    for x, y in zip(sorted(map(str, got)), sorted(map(str, want)), strict=True):
+        assert x == y
 
 
 def place(doc_id, n, weights=None):
