@@ -1,8 +1,9 @@
 """URL filters over a sorted array of digests.
 
-Rules are kept in one file: their 64-bit xxhash keys in order, then offsets and the full strings. The file goes to
-every executor by Spark's file distribution and is memory-mapped there, so that its pages are read as probes need
-them. A batch of urls is probed at once by binary search, and each hit is confirmed on the stored string.
+Rules are kept in one file: their 64-bit xxhash keys in order, then offsets and the full strings. The file is written to
+the shared folder, goes to every executor by Spark's file distribution and is memory-mapped there, so that its pages
+are read as probes need them. A batch of urls is probed at once by binary search, for as many labels of a host as rules
+have, and each hit is confirmed on the stored string.
 
 A rule is a host and the start of a path, as ``example.com/en/``. It fits its host and all subdomains. The longest
 rule that fits wins; a url that none fits is allowed.
@@ -15,9 +16,7 @@ empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, scratch
 
 # The rules of the registered query.
 RULES = (
@@ -38,7 +37,7 @@ RULES = (
     ("net/fr/", "block"),
 )
 DEFAULT = "allow"
-MAGIC = b"quarryu1"
+MAGIC = b"quarryu2"
 
 _HOST = re.compile(r"://([^/?#]*)([^?#]*)")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,15 +50,16 @@ def parse(url: str | None) -> tuple[str, str]:
 
 
 def build(rules: Iterable[tuple[str, str]]) -> bytes:
-    """The index file: header, keys in order, verdicts, path lengths in use, offsets, strings."""
+    """The index file: header, keys in order, offsets, path lengths and label counts in use, verdicts, strings."""
     last = dict(rules)
     keyed = sorted((xxhash.xxh64_intdigest(r), r.encode(), v) for r, v in last.items())
     keys = np.array([k for k, _, _ in keyed], np.uint64)
     block = np.array([v == "block" for _, _, v in keyed], np.uint8)
     offsets = np.cumsum([0, *(len(r) for _, r, _ in keyed)]).astype(np.uint64)
     lengths = np.array(sorted({len(r.partition("/")[2]) + 1 for r in last}), np.uint64)
-    head = np.array([len(keys), len(lengths)], np.uint64)
-    return MAGIC + head.tobytes() + keys.tobytes() + offsets.tobytes() + lengths.tobytes() + block.tobytes() + b"".join(r for _, r, _ in keyed)
+    labels = np.array(sorted({r.partition("/")[0].count(".") + 1 for r in last}), np.uint64)
+    head = np.array([len(keys), len(lengths), len(labels)], np.uint64)
+    return MAGIC + head.tobytes() + keys.tobytes() + offsets.tobytes() + lengths.tobytes() + labels.tobytes() + block.tobytes() + b"".join(r for _, r, _ in keyed)
 
 
 class Index:
@@ -69,10 +69,10 @@ class Index:
         raw = np.memmap(path, np.uint8, "r")
         if bytes(raw[:8]) != MAGIC:
             raise ValueError(f"{path} is no url index")
-        n, m = (int(x) for x in raw[8:24].view(np.uint64))
-        cut = np.cumsum([24, 8 * n, 8 * (n + 1), 8 * m, n])
-        self.keys, self.offsets, self.lengths = (raw[a:b].view(np.uint64) for a, b in zip(cut[:3], cut[1:4], strict=True))
-        self.block, self.strings = raw[cut[3] : cut[4]], raw[cut[4] :]
+        n, m, k = (int(x) for x in raw[8:32].view(np.uint64))
+        cut = np.cumsum([32, 8 * n, 8 * (n + 1), 8 * m, 8 * k, n])
+        self.keys, self.offsets, self.lengths, self.labels = (raw[a:b].view(np.uint64) for a, b in zip(cut[:4], cut[1:5], strict=True))
+        self.block, self.strings = raw[cut[4] : cut[5]], raw[cut[5] :]
 
     def rules(self, probes: list[str]) -> list[int]:
         """The number of the rule that equals each probe, or -1."""
@@ -93,15 +93,17 @@ class Index:
     def judge(self, urls: list[str | None]) -> list[tuple[str, str, str | None, str]]:
         """Host, path, rule and verdict of each url of a batch."""
         parsed, probes, owner = [parse(u) for u in urls], [], []
-        lengths = self.lengths.tolist()
+        lengths, counts = self.lengths.tolist(), self.labels.tolist()
         for i, (host, path) in enumerate(parsed):
-            if host:
-                labels = host.split(".")
+            if host and counts:
+                labels = host.rsplit(".", counts[-1])  # what is left of these, no rule names
+                whole = len(labels) if len(labels) <= counts[-1] else counts[-1]
                 starts = [path[: int(n)] for n in lengths if n <= len(path)]
-                for j in range(len(labels)):
-                    suffix = ".".join(labels[j:])
-                    probes += [suffix + s for s in starts]
-                    owner += [i] * len(starts)
+                for k in counts:
+                    if k <= whole:
+                        suffix = ".".join(labels[-k:])
+                        probes += [suffix + s for s in starts]
+                        owner += [i] * len(starts)
         best: dict[int, tuple[int, int]] = {}
         for i, p, k in zip(owner, probes, self.rules(probes), strict=True):
             if k >= 0:
@@ -109,15 +111,22 @@ class Index:
         return [(*x, self.text(best[i][1]).decode(), "block" if self.block[best[i][1]] else "allow") if i in best else (*x, None, DEFAULT) for i, x in enumerate(parsed)]
 
 
+_sent: dict[tuple[str, str], str] = {}
+
+
 def distribute(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> str:
     """Hand the index to all executors, present and future; returns its name there."""
     body = build(rules)
     name = f"quarry-urls-{hashlib.sha256(body).hexdigest()[:24]}.bin"
-    path = os.path.join(tempfile.gettempdir(), name)
-    with open(f"{path}.{os.getpid()}", "wb") as f:
-        f.write(body)
-    os.replace(f"{path}.{os.getpid()}", path)
-    spark.sparkContext.addFile(path)
+    app = spark.sparkContext.applicationId
+    if (app, name) not in _sent:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/{name}")
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+        for i in range(0, len(body), 1 << 20):
+            out.write(bytearray(body[i : i + (1 << 20)]))
+        out.close()
+        spark.sparkContext.addFile(at.toString())
+        _sent[app, name] = at.toString()
     return name
 
 

@@ -883,6 +883,17 @@ def test_urls_equal_brute_force(spark):
     assert [r.verdict for r in urls.verdicts(df.where("page_id = 6"), []).collect()] == ["allow"]
 
 
+def test_urls_of_many_labels_are_judged_in_linear_time(tmp_path):
+    import time
+
+    path = tmp_path / "i.bin"
+    path.write_bytes(urls.build(urls.RULES))
+    index, began = urls.Index(str(path)), time.perf_counter()
+    hosts = ["http://" + "a." * 200000 + x for x in ("example.com/en/", "www.example.com/en/", "net/fr/x", "org/")]
+    assert [r[2:] for r in index.judge(hosts)] == [("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/fr/", "block"), (None, "allow")]
+    assert time.perf_counter() - began < 1
+
+
 def test_url_index_confirms_strings(tmp_path, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda x: 7)  # all keys collide
     path = tmp_path / "i.bin"
