@@ -9,9 +9,10 @@ the full shingle sets reach it.
 Equal sets are one class from the start. In each bucket of a band, every class is first held against the least
 class. After these links' components are known, buckets that still hold several components are searched again for
 pairs across them, so that no link is lost to the choice of the least class: in small buckets every member meets
-every other. Members of larger ones meet where they share one of their rarest shingles; of two sets that reach the
-threshold, so many of the rarest must hold a common one (the prefix filter), and what a whole family of texts shares is
-not rare. Pairs are held against each other in bounded groups, and pairs within a component are not listed.
+every other. Members of larger ones meet where they share one of their rarest shingles: of two sets that reach the
+threshold, so many of the rarest must hold a common one, by the sizes of both (the prefix filter), and what a whole
+family of texts shares is not rare. Large groups go to tasks block by block with their full sets, and a task names no more
+links than it takes to join its members' components. Pairs within a component are not listed.
 
 Defined results: a null, empty or blank text has the empty set, links with nothing and is kept; a row without id
 cannot name a component: its component is null, it links with nothing and is kept; rows of equal id are rows of their
@@ -37,8 +38,8 @@ BUCKETS, ZERO_BITS, MANTISSA = 128, 6, 10
 DEVIATIONS = 5
 #: All members of groups up to this size meet; larger groups are split.
 SMALL = 64
-#: Members of one large group are held against each other in blocks of this size.
-BLOCK = 1024
+#: Members of one large group are held against each other in blocks of this size, with their full sets.
+BLOCK = 512
 #: A large group's members are numbered in so many parts, squared, at once.
 PARTS = 16
 #: Partners that one set is held against in a row.
@@ -265,20 +266,30 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return parts.withColumn("place", place).join(counts, ["key", "part"]).withColumn("block", ((F.col("before") + F.col("place")) / BLOCK).cast("int")).drop("part", "place", "before")
 
 
-PAIRS = "a long, b long"
+PAIRS = "a long, b long, sure boolean"
 
 
-def _across(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, rule: Rule, x: int, ys: np.ndarray) -> np.ndarray:
-    """Of members ys of a group, those in other components than x whose sketches come near that of x."""
+def _across(ids: np.ndarray, comp: np.ndarray, pos: np.ndarray, n: np.ndarray, regs: np.ndarray, rule: Rule, x: int, ys: np.ndarray) -> np.ndarray:
+    """Of members ys of a group, those in other components than x whose sketches come near that of x.
+
+    ``pos`` is the place of the group's shingle among a member's, rarest first (-1: not known). Sets that reach the
+    threshold share at least so many, and so one of the others that are left from their first shared one on.
+    """
     ys = ys[comp[ys] != comp[x]]
+    shared = -(-rule.percent * (n[ys] + n[x]) // (100 + rule.percent))
+    ys = ys[(pos[x] <= n[x] - shared) & (pos[ys] <= n[ys] - shared)]
     return ys[near(rule, np.broadcast_to(regs[x], (len(ys), BUCKETS)), regs[ys], np.full(len(ys), n[x]), n[ys])] if len(ys) else ys
 
 
-def _meet(groups: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Settled candidate pairs (a, b) across components in settled groups (key, id, component) that hold several.
+def _pairs(a: list[int], b: list[int], sure: bool) -> dict[str, pa.Array]:
+    return {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array([sure] * len(a), pa.bool_())}
+
+
+def _meet(groups: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Settled pairs (a, b, sure) across components in settled groups (key, id, component, pos) that hold several.
 
-    Groups up to SMALL pass through a task in order; larger ones go in blocks, of which pairs with one and the same
-    component are left out.
+    Groups up to SMALL pass through a task in order, and pairs whose estimate passes are not sure. Larger ones go in
+    blocks, of which pairs with one and the same component are left out; their links are counted on full sets.
     """
     shape = groups.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "members")
     rows = settle(skew_join(groups, shape, ["key"], ["id"]))
@@ -288,17 +299,17 @@ def _meet(groups: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
         key, held = None, []
 
         def pairs() -> pa.RecordBatch:
-            ids, comp, n = (np.array([r[i] for r in held], np.int64) for i in (1, 2, 3))
-            regs = np.frombuffer(b"".join(r[4] for r in held), np.uint16).reshape(-1, BUCKETS)
+            ids, comp, pos, n = (np.array([r[i] for r in held], np.int64) for i in (1, 2, 3, 4))
+            regs = np.frombuffer(b"".join(r[5] for r in held), np.uint16).reshape(-1, BUCKETS)
             a, b = [], []
             for x in range(len(held) - 1):
-                ys = _across(ids, comp, n, regs, rule, x, np.arange(x + 1, len(held)))
+                ys = _across(ids, comp, pos, n, regs, rule, x, np.arange(x + 1, len(held)))
                 a += np.minimum(ids[ys], ids[x]).tolist()
                 b += np.maximum(ids[ys], ids[x]).tolist()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_pydict(_pairs(a, b, False))
 
         for part in parts:
-            for row in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
                 if row[0] != key:
                     if len(held) > 1:
                         yield pairs()
@@ -307,40 +318,55 @@ def _meet(groups: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
         if len(held) > 1:
             yield pairs()
 
-    few = rows.where(F.col("members") <= SMALL).select("key", "id", "component").join(sketches, "id")
-    out = few.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "component", "n", "regs").mapInArrow(pass_by, PAIRS)
-    large = rows.where(F.col("members") > SMALL).select("key", "id", "component")
+    few = rows.where(F.col("members") <= SMALL).select("key", "id", "component", "pos").join(sketches, "id")
+    out = few.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "component", "pos", "n", "regs").mapInArrow(pass_by, PAIRS)
+    large = rows.where(F.col("members") > SMALL).select("key", "id", "component", "pos")
     if large.isEmpty():
         found = settle(out.distinct())
         discard(rows)
         return found
 
+    def pack(sets: list[np.ndarray], rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([r["id"] for r in rows], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["id", "packed"])
+
+    wanted = settle(large.select("id").distinct().join(classes.select("id", "doc_id", "t"), "id"))
+    packed = settle(_sets(docs, wanted, wanted.count() * 48, rule, pack, "id long, packed binary").dropDuplicates(["id"]).join(sketches, "id"))
     numbered = settle(_in_blocks(large))
     ends = numbered.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     left, right = (ends.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high"))) for x in "ij")
     tasks = settle(left.join(right, "key").where("block_i <= block_j and not (low_i = high_i and low_j = high_j and low_i = low_j)").select("key", "block_i", "block_j"))
-    wanted = tasks.select("key", "block_i", "block_j", F.col("block_i").alias("block")).unionByName(tasks.where("block_i < block_j").select("key", "block_i", "block_j", F.col("block_j").alias("block")))
-    members = skew_join(numbered, wanted, ["key", "block"], ["id"]).join(sketches, "id")
+    both = tasks.select("key", "block_i", "block_j", F.col("block_i").alias("block")).unionByName(tasks.where("block_i < block_j").select("key", "block_i", "block_j", F.col("block_j").alias("block")))
+    members = skew_join(numbered, both, ["key", "block"], ["id"]).join(packed, "id")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, n, block = (table.column(c).to_numpy() for c in ("id", "component", "n", "block"))
+        ids, comp, pos, n, block = (table.column(c).to_numpy() for c in ("id", "component", "pos", "n", "block"))
         regs = _grid(table.column("regs").combine_chunks())
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("packed").to_pylist()]
         i, j = (table.column(c)[0].as_py() for c in ("block_i", "block_j"))
         rows_i, rows_j = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        comp = comp.copy()  # becomes that of the links found so far
         a, b = [], []
         for x in rows_i:
-            ys = _across(ids, comp, n, regs, rule, x, rows_j if i != j else rows_j[ids[rows_j] > ids[x]])
-            a += np.minimum(ids[ys], ids[x]).tolist()
-            b += np.maximum(ids[ys], ids[x]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            ys = _across(ids, comp, pos, n, regs, rule, x, rows_j if i != j else rows_j[ids[rows_j] > ids[x]])
+            if not len(ys):
+                continue
+            others, sizes = np.concatenate([sets[y] for y in ys]), n[ys]
+            spot = np.minimum(np.searchsorted(sets[x], others), len(sets[x]) - 1)
+            shared = np.add.reduceat((sets[x][spot] == others).astype(np.int64), np.cumsum(sizes) - sizes)
+            for y in ys[100 * shared >= rule.percent * (n[x] + sizes - shared)]:
+                if comp[y] != comp[x]:
+                    comp[comp == comp[y]] = comp[x]
+                    a.append(int(min(ids[x], ids[y])))
+                    b.append(int(max(ids[x], ids[y])))
+        return pa.table(_pairs(a, b, True))
 
     found = settle(out.unionByName(members.groupBy("key", "block_i", "block_j").applyInArrow(run, PAIRS)).distinct())
-    discard(rows, numbered, tasks)
+    discard(rows, wanted, packed, numbered, tasks)
     return found
 
 
 def _rarest(members: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Settled (key, id, component): settled members (id, component) under each of their rarest shingles that another has.
+    """Settled (key, id, component, pos): settled members (id, component) under each of their rarest shingles that another has.
 
     A set of n needs its n - ceil(t * n) + 1 rarest; shingles are as rare as few members have them, and all members
     rank them alike.
@@ -358,25 +384,31 @@ def _rarest(members: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule)
     alone = n - F.size("by")  # shingles that no other member has come first in every order
     prefix = n - F.ceil(n * p / 100) + 1 - alone
     keys = used.join(classes.select("id", "n"), "id").withColumn("prefix", prefix.cast("int")).where("prefix > 0")
-    keyed = keys.select("id", F.explode(F.slice("by", F.lit(1), F.col("prefix"))).alias("x")).select("id", F.col("x.key").alias("key"))
-    out = settle(keyed.join(members, "id").select("key", "id", "component"))
+    keyed = keys.select("id", alone.alias("alone"), F.posexplode(F.slice("by", F.lit(1), F.col("prefix"))).alias("i", "x")).select("id", F.col("x.key").alias("key"), (F.col("alone") + F.col("i")).alias("pos"))
+    out = settle(keyed.join(members, "id").select("key", "id", "component", "pos"))
     discard(wanted, held)
     return out
 
 
 def _crossing(rows: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Settled candidate pairs across components in settled buckets (key, id, component, members)."""
-    few = settle(rows.where(F.col("members") <= SMALL).select("key", "id", "component"))
-    out = _meet(few, classes, rule)
+    """Settled linked pairs (a, b) across components in settled buckets (key, id, component, members).
+
+    Of the links between two components, one at least is named.
+    """
+    few = settle(rows.where(F.col("members") <= SMALL).select("key", "id", "component", F.lit(-1).cast("long").alias("pos")))
+    out = _meet(few, classes, docs, rule)
     many = settle(rows.where(F.col("members") > SMALL).select("id", "component").distinct())
     if not many.isEmpty():
         shared = _rarest(many, classes, docs, rule)
-        more = _meet(shared, classes, rule)
+        more = _meet(shared, classes, docs, rule)
         both = settle(out.unionByName(more).distinct())
         discard(shared, out, more)
         out = both
-    discard(few, many)
-    return out
+    likely = settle(out.where("not sure").select("a", "b").distinct())
+    found = verified(likely, docs, classes, rule)
+    links = settle(found.unionByName(out.where("sure").select("a", "b")).distinct())
+    discard(few, many, out, likely, found)
+    return links
 
 
 def clustered(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -411,12 +443,9 @@ def clustered(docs: DataFrame, rule: Rule) -> DataFrame:
     crossing = _crossing(open_rows, classes, docs, rule)
     discard(open_rows)
     if not crossing.isEmpty():
-        found = verified(crossing, docs, classes, rule)
-        if not found.isEmpty():
-            both = settle(edges.unionByName(found))
-            discard(edges, tied)
-            edges, tied = both, components(both)
-        discard(found)
+        both = settle(edges.unionByName(crossing))
+        discard(edges, tied)
+        edges, tied = both, components(both)
     discard(crossing, edges)
 
     each = settle(known.join(tied, "id", "left").withColumn("component", F.coalesce("component", "id")))
