@@ -46,14 +46,20 @@ def complete(members: DataFrame, have: DataFrame, group: str, on: list[str]) ->
     return members.select(group).distinct().join(missing, group, "left_anti")
 
 
+def _once(rows: DataFrame, key: list[str]) -> DataFrame:
+    rest = [x for x in rows.columns if x not in key]
+    return rows.groupBy(*key).agg(F.max(F.struct(*rest)).alias("row")).select(*key, "row.*").select(*rows.columns) if rest else rows.distinct()
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows replace old ones of the same key; of equal keys one stays."""
-    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
+    """New rows replace old ones of the same key; of new rows of one key, the greatest in its other columns stays."""
+    once = _once(new, key)
+    return old.join(once.select(*key), key, "left_anti").unionByName(once)
 
 
 def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows whose key is not there yet."""
-    return new.join(old.select(*key).distinct(), key, "left_anti")
+    """New rows whose key is not there yet, one of each key as in ``upsert``."""
+    return _once(new, key).join(old.select(*key), key, "left_anti")
 
 
 def several_sources(rows: DataFrame, key: str, source: str) -> DataFrame:

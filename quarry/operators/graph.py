@@ -20,16 +20,18 @@ def one_hop(edges: DataFrame, roots: DataFrame, cap: int) -> DataFrame:
     return directed(edges).join(roots, "node", "left_semi").withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
 
 
-def two_hops(edges: DataFrame, roots: DataFrame, container: str, cap: int) -> DataFrame:
+def two_hops(edges: DataFrame, roots: DataFrame, container: str, end: str, cap: int) -> DataFrame:
     """Edges within two steps of each root (node).
 
-    The second step starts at nodes first seen in the first, and does not fan out from a container: an edge of the
-    container predicate whose subject is the frontier node is skipped. The cap counts both steps.
+    The second step starts at nodes first seen in the first, and does not fan out from a container to its members: an
+    edge of the container predicate is skipped where the frontier node is its container, which stands at the end
+    ``src`` or ``dst``. The cap counts both steps.
     """
     every = directed(edges)
+    outward = "out" if end == "src" else "in"
     first = every.join(roots.distinct(), "node").select(F.col("node").alias("root"), "node", "other", "predicate", "direction", F.lit(1).alias("hop"))
     frontier = first.where("other <> root").select("root", F.col("other").alias("node")).distinct()
-    second = every.join(frontier, "node").where(~((F.col("predicate") == container) & (F.col("direction") == "out"))).where("other <> root")
+    second = every.join(frontier, "node").where(~((F.col("predicate") == container) & (F.col("direction") == outward))).where("other <> root")
     second = second.select("root", "node", "other", "predicate", "direction", F.lit(2).alias("hop"))
     w = Window.partitionBy("root").orderBy("hop", F.col("predicate") == container, "predicate", "node", "other", "direction")
     return first.unionByName(second).withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def rates(rows: DataFrame, by: str, tests: dict[str, Column]) -> DataFrame:
@@ -41,11 +44,28 @@ def choices(rows: DataFrame, key: str, allowed: Column, order: list[Column], lim
     return top.withColumn("number", F.row_number().over(Window.orderBy("__order", key))).drop("__order")  # over limit rows
 
 
-def compare_and_set(events: DataFrame, by: str) -> DataFrame:
-    """Whether each write was accepted: it must expect the revision before it (source, expected, revision, at)."""
-    w = Window.partitionBy(by).orderBy("at", "event_id")
-    before = F.coalesce(F.max("revision").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return events.withColumn("accepted", F.col("expected") == before)
+def compare_and_set(writes: DataFrame, by: str) -> DataFrame:
+    """Whether each write (source, expected, revision, at, event_id) was accepted, in the order of its source.
+
+    A source's first write is accepted, then what repeats its current revision or expects it. A refused write leaves
+    the current revision as it is, so the order is a fold: rows of a source pass one task in order, and only its
+    current revision is held.
+    """
+    at = [writes.columns.index(x) for x in (by, "expected", "revision")]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, head = object(), None
+        for part in parts:
+            accepted = []
+            for key, expected, revision in zip(*(part.column(i).to_pylist() for i in at), strict=True):
+                good = key != source or revision == head or expected == head
+                if good:
+                    source, head = key, revision
+                accepted.append(good)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(accepted, pa.bool_())], [*part.schema.names, "accepted"])
+
+    schema = StructType([*writes.schema.fields, StructField("accepted", BooleanType())])
+    return writes.repartition(by).sortWithinPartitions(by, "at", "event_id").mapInArrow(run, schema)
 
 
 def unpivot(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:

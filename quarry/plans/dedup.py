@@ -59,13 +59,14 @@ def document_ready_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.complete(members, have, "document", ["l_partkey"])
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS price FROM part WHERE p_partkey < 1000
-UNION ALL SELECT p_partkey, p_retailprice + 1 FROM part WHERE p_partkey >= 1000 AND p_partkey % 3 = 0""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN p_retailprice + 2 WHEN p_partkey % 3 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS price FROM part WHERE p_partkey < 1000
+UNION ALL SELECT p_partkey, p_retailprice + CASE WHEN p_partkey % 6 = 0 THEN 2 ELSE 1 END FROM part WHERE p_partkey >= 1000 AND p_partkey % 3 = 0""")
 def idempotent_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New prices replace old ones of the same key."""
+    """New prices replace old ones of the same key; some keys come twice."""
     p = c.read(spark, sf_dir, "part")
     old = p.where("p_partkey < 1000").select("p_partkey", F.col("p_retailprice").alias("price"))
-    return op.upsert(old, p.where("p_partkey % 3 = 0").select("p_partkey", (F.col("p_retailprice") + 1).alias("price")), ["p_partkey"])
+    new = lambda rows, more: p.where(rows).select("p_partkey", (F.col("p_retailprice") + more).alias("price"))
+    return op.upsert(old, new("p_partkey % 3 = 0", 1).unionByName(new("p_partkey % 6 = 0", 2)), ["p_partkey"])
 
 
 @query("""WITH n AS (SELECT p_partkey, p_name, CASE WHEN o.k IS NULL THEN 'created' WHEN o.name = p_name THEN 'unchanged' ELSE 'conflict' END AS outcome

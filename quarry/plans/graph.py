@@ -20,16 +20,16 @@ def neighbourhood_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.one_hop(c.structure(spark, sf_dir), roots, 20)
 
 
-@query(c.with_(c.STRUCTURE, BOTH) + """, r AS (SELECT 'customer:' || c_custkey AS node FROM customer WHERE c_custkey % 10 = 0),
+@query(c.with_(c.STRUCTURE, BOTH) + """, r AS (SELECT 'customer:' || c_custkey AS node FROM customer UNION ALL SELECT 'nation:' || n_nationkey FROM nation),
 one AS (SELECT b.node AS root, b.node, b.other, b.predicate, b.direction, 1 AS hop FROM both_ways b JOIN r USING (node)),
 two AS (SELECT f.root, b.node, b.other, b.predicate, b.direction, 2 AS hop FROM both_ways b JOIN (SELECT DISTINCT root, other AS node FROM one WHERE other <> root) f ON b.node = f.node
-  WHERE NOT (b.predicate = 'PART_OF' AND b.direction = 'out') AND b.other <> f.root)
+  WHERE NOT (b.predicate = 'PART_OF' AND b.direction = 'in') AND b.other <> f.root)
 SELECT root, node, other, predicate, direction, hop, place::INT AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY root ORDER BY hop, predicate = 'PART_OF', predicate, node, other, direction) AS place FROM (SELECT * FROM one UNION ALL SELECT * FROM two)) WHERE place <= 40""")
 def neighbourhood_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-hop neighbourhoods of customers, forty edges each (the limit is the feature)."""
-    roots = c.read(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
-    return op.two_hops(c.structure(spark, sf_dir), roots, "PART_OF", 40)
+    """Two-hop neighbourhoods of customers and nations, forty edges each (the limit is the feature)."""
+    roots = c.entities(spark, sf_dir).where("entity_type in ('customer', 'nation')").select(F.col("entity_key").alias("node"))
+    return op.two_hops(c.structure(spark, sf_dir), roots, "PART_OF", "dst", 40)
 
 
 REFS = "refs AS (SELECT p_partkey AS key, (p_partkey * 3 + p_size) % 2100 AS target FROM part)"

@@ -167,11 +167,11 @@ def layer_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.votes(c.read(spark, sf_dir, "lineitem"), "l_partkey", "l_returnflag", "l_linenumber", 5)
 
 
-@query(r"""SELECT p_partkey, left(trim(regexp_replace(concat_ws(' ', p_name, '  ' || p_brand, p_size), '\s+', ' ', 'g')), 18) AS text FROM part""")
+@query(r"""SELECT p_partkey, left(trim(regexp_replace(concat_ws(' ', p_name, '  ' || p_brand, p_size), '\s+', ' ', 'g')), 2000) AS text FROM part""")
 def node_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search text of nodes, collapsed and cut (the length is the feature)."""
     p = c.read(spark, sf_dir, "part").withColumn("brand", F.concat(F.lit("  "), "p_brand"))
-    return p.select("p_partkey", op.search_text(["p_name", "brand", "p_size"], 18).alias("text"))
+    return p.select("p_partkey", op.search_text(["p_name", "brand", "p_size"], 2000).alias("text"))
 
 
 @query("""SELECT c_nationkey AS project, count(DISTINCT o_orderkey) AS drawings, count(DISTINCT o_orderpriority) AS disciplines, count(DISTINCT o_orderstatus) AS file_types FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1""")

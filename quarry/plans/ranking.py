@@ -127,10 +127,10 @@ def hourly_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.read(spark, sf_dir, "events").groupBy(hour.alias("hour")).agg(F.count("*").alias("jobs"), failed.alias("failed"), F.round(failed / F.count("*"), 6).alias("failure_rate"))
 
 
-@query("""SELECT left(regexp_replace(lower(text), '[0-9]+', 'N', 'g'), 40) AS message, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1 ORDER BY n DESC, message LIMIT 5""")
+@query("""SELECT left(regexp_replace(lower(text), '[0-9]+', 'N', 'g'), 120) AS message, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1 ORDER BY n DESC, message LIMIT 5""")
 def top_errors_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top five messages without their numbers (the limit is the feature)."""
-    message = F.left(F.regexp_replace(F.lower("text"), "[0-9]+", "N"), F.lit(40))
+    message = F.left(F.regexp_replace(F.lower("text"), "[0-9]+", "N"), F.lit(120))
     return c.read(spark, sf_dir, "conversations").where("role = 'user'").groupBy(message.alias("message")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "message").limit(5)
 
 

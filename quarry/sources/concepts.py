@@ -177,18 +177,22 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("subject"),
         F.concat(F.lit("p."), F.col("l_linenumber").cast("string")).alias("path"),
         F.col("l_quantity").alias("value"),
-        F.col("l_suppkey").alias("evidence"),
+        F.when(F.col("l_partkey") % 13 != 0, F.col("l_suppkey")).alias("evidence"),
         F.when(F.col("l_returnflag") == "R", "DISPUTED").when(F.col("l_discount") == 0, "UNKNOWN").otherwise("OBSERVED").alias("status"),
         F.col("l_shipdate").alias("recorded_at"),
         F.when(F.col("l_linestatus") == "F", F.col("l_shipdate") + F.make_dt_interval(F.col("l_partkey") % 900)).alias("superseded_at"),
+        F.when(F.col("l_partkey") % 11 != 0, F.date_sub(F.col("l_shipdate").cast("date"), (F.col("l_suppkey") % 300).cast("int"))).alias("valid_from"),
+        F.when(F.col("l_partkey") % 5 == 0, F.date_add(F.col("l_shipdate").cast("date"), (F.col("l_partkey") % 700).cast("int"))).alias("valid_to"),
     )
 
 
 FACTS = """facts AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS fact_id, l_orderkey AS subject, 'p.' || l_linenumber AS path,
-    l_quantity AS value, l_suppkey AS evidence,
+    l_quantity AS value, CASE WHEN l_partkey % 13 <> 0 THEN l_suppkey END AS evidence,
     CASE WHEN l_returnflag = 'R' THEN 'DISPUTED' WHEN l_discount = 0 THEN 'UNKNOWN' ELSE 'OBSERVED' END AS status,
-    l_shipdate AS recorded_at, CASE WHEN l_linestatus = 'F' THEN l_shipdate + to_days((l_partkey % 900)::INT) END AS superseded_at FROM lineitem)"""
+    l_shipdate AS recorded_at, CASE WHEN l_linestatus = 'F' THEN l_shipdate + to_days((l_partkey % 900)::INT) END AS superseded_at,
+    CASE WHEN l_partkey % 11 <> 0 THEN l_shipdate::DATE - (l_suppkey % 300)::INT END AS valid_from,
+    CASE WHEN l_partkey % 5 = 0 THEN l_shipdate::DATE + (l_partkey % 700)::INT END AS valid_to FROM lineitem)"""
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
