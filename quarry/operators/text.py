@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from quarry.functions import text as fn
 from quarry.operators.lineage import cut
 
+#: Asked terms up to this many are sent to all tasks.
+MOST_TERMS = 1_000_000
+
 
 def law_score(title: Column, body: Column, terms: list[str], phrase: str) -> Column:
     """3 for each occurrence in the title, 1 for each of at most 5 in the body, 5 for the whole phrase."""
@@ -25,18 +28,21 @@ def law_score(title: Column, body: Column, terms: list[str], phrase: str) -> Col
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of tokens (doc_id, tokens) for queries (query_id, terms).
 
-    Only postings of asked terms are shuffled: terms reduce the postings before counts meet.
+    Only postings of asked terms are shuffled: terms reduce the tokens before they are counted, and lengths are taken
+    apart from them.
     """
-    docs = cut(docs)  # tokens are used for lengths and for postings
     lengths = docs.select("doc_id", F.size("tokens").cast("double").alias("len"))
     whole = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    postings = docs.select("doc_id", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    asked = cut(queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")))
+    terms = asked.select("term").distinct()
+    if asked.count() <= MOST_TERMS:
+        terms = F.broadcast(terms)  # of a counted size
+    postings = cut(docs.select("doc_id", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf")))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = asked.join(postings, "term").join(df, "term").join(lengths, "doc_id").crossJoin(F.broadcast(whole))  # one row
-    return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(idf * tf), 6).alias("score"))
+    weights = postings.join(df, "term").join(lengths, "doc_id").crossJoin(F.broadcast(whole)).select("term", "doc_id", (idf * tf).alias("weight"))  # one row
+    return asked.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
 def top(scored: DataFrame, by: str, k: int, tie: str) -> DataFrame:
@@ -70,14 +76,32 @@ def mentions(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.select("doc_id", "sentence_no", "sentence").mapInArrow(run, "doc_id long, sentence_no int, nr int, entity string, start int, end int")
 
 
-def cooccurrences(found: DataFrame, least: int) -> DataFrame:
-    """Pairs of entities that share a sentence, by the number of sentences that do; rarer pairs are dropped."""
+def cooccurrences(found: DataFrame, least: int, proposed: DataFrame | None = None) -> DataFrame:
+    """Pairs of entities that share a sentence, by the number of sentences that do; rarer pairs are dropped.
+
+    Pairs that a rule has proposed (entity, other), in either direction, are left out.
+    """
     once = found.select("doc_id", "sentence_no", "entity").distinct()
     per = once.groupBy("doc_id", "sentence_no").agg(F.array_sort(F.collect_list("entity")).alias("es")).where("size(es) > 1")
     i = per.select("doc_id", "sentence_no", "es", F.posexplode("es").alias("i", "a"))
     pairs = i.select("a", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("b"))
     n = F.col("support")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("support")).where(n >= least).withColumn("confidence", F.round(F.least(F.lit(0.5), 0.15 + 0.05 * n), 6))
+    out = pairs.groupBy("a", "b").agg(F.count("*").alias("support")).where(n >= least).withColumn("confidence", F.round(F.least(F.lit(0.5), 0.15 + 0.05 * n), 6))
+    if proposed is None:
+        return out
+    known = proposed.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b")).distinct()
+    return out.join(known, ["a", "b"], "left_anti")
+
+
+def relation_proposals(docs: DataFrame, names: dict[str, str], rules: list[tuple[str, str, float]], least: int) -> DataFrame:
+    """(source, relation, target, support, confidence) from texts (doc_id, text): typed by rules first, then RELATED_TO for what shares sentences."""
+    rows = sentences(docs)
+    found = cut(mentions(rows, names))
+    typed = cut(rule_relations(found, rows, rules))
+    related = cooccurrences(found, least, typed)
+    return typed.select(F.col("entity").alias("source"), "relation", F.col("other").alias("target"), "support", "confidence").unionByName(
+        related.select(F.col("a").alias("source"), F.lit("RELATED_TO").alias("relation"), F.col("b").alias("target"), "support", "confidence")
+    )
 
 
 def rule_relations(found: DataFrame, rows: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
@@ -94,11 +118,16 @@ def rule_relations(found: DataFrame, rows: DataFrame, rules: list[tuple[str, str
     return typed.groupBy("entity", "relation", "other").agg(n.alias("support"), F.round(F.least(F.lit(0.85), F.max("base") + 0.05 * (n - 1)), 6).alias("confidence"))
 
 
-def similar(features: DataFrame, key: str, feature: str) -> DataFrame:
-    """Jaccard similarity of owners that share a feature: shared counts over sizes, without a cross join."""
-    once = features.select(key, feature).distinct()
+def similar(features: DataFrame, queries: DataFrame, key: str, feature: str, k: int) -> DataFrame:
+    """The k owners most similar to each queried owner by Jaccard similarity of their features, of those that share one.
+
+    Queries are a stated set against all owners. Shared features are counted per pair before anything else is joined.
+    """
+    once = cut(features.select(key, feature).distinct())
     sizes = once.groupBy(key).agg(F.count("*").alias("n"))
-    a, b = once.alias("a"), once.alias("b")
-    shared = a.join(b, (F.col(f"a.{feature}") == F.col(f"b.{feature}")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))).groupBy(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).agg(F.count("*").alias("both"))
+    asked = once.join(queries.select(key).distinct(), key, "left_semi")
+    a, b = asked.alias("a"), once.alias("b")
+    shared = a.join(b, (F.col(f"a.{feature}") == F.col(f"b.{feature}")) & (F.col(f"a.{key}") != F.col(f"b.{key}"))).groupBy(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).agg(F.count("*").alias("both"))
     out = shared.join(sizes.select(F.col(key).alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col(key).alias("b"), F.col("n").alias("n_b")), "b")
-    return out.select("a", "b", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 6).alias("score"))
+    scored = out.select("a", "b", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 6).alias("score"))
+    return top(scored, "a", k, "b")

@@ -91,8 +91,7 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, x[round_even(0.5 * (len(x) - 1), 0)::INT + 1] AS p50, x[round_even(0.95 * (len(x) - 1), 0)::INT + 1] AS p95, x[greatest(1, ceil(0.95 * len(x)))::INT] AS gate_p95 FROM s""")
 def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles by nearest rank, in both roundings."""
-    x = c.read(spark, sf_dir, "events").groupBy("event_type").agg(F.collect_list("value").alias("x"))
-    return x.select("event_type", op.nearest_rank(F.col("x"), 0.5).alias("p50"), op.nearest_rank(F.col("x"), 0.95).alias("p95"), op.ceiling_rank(F.col("x"), 0.95).alias("gate_p95"))
+    return op.percentiles(c.read(spark, sf_dir, "events"), "event_type", "value", {"p50": (0.5, "nearest"), "p95": (0.95, "nearest"), "gate_p95": (0.95, "ceiling")})
 
 
 @query("""WITH cases AS (SELECT l_orderkey AS case_id, count(*) AS hits, count(DISTINCT l_partkey) AS distinct_hits, count(DISTINCT l_partkey) FILTER (l_returnflag = 'A') AS found,

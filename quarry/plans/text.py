@@ -31,16 +31,16 @@ def law_search_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = r"toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS tokens FROM documents)"
 
 
-@query("WITH " + TOKENS + r""", q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:4])) AS term FROM benchmark),
+@query("WITH " + TOKENS + r""", q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS term FROM benchmark),
 post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM toks) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), len AS (SELECT doc_id, len(tokens)::DOUBLE AS len FROM toks), w AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM len),
 scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len)))), 6) AS score
   FROM q JOIN post USING (term) JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN w GROUP BY 1, 2)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS place FROM scored QUALIFY place <= 10""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten best documents for the first words of each benchmark item."""
+    """Ten best documents for the words of each benchmark item."""
     docs = c.read(spark, sf_dir, "documents").select("doc_id", fn.tokens(F.col("text")).alias("tokens"))
-    queries = c.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(fn.tokens(F.col("text")), 1, 4).alias("terms"))
+    queries = c.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), fn.tokens(F.col("text")).alias("terms"))
     return op.top(op.bm25(docs, queries), "query_id", 10, "doc_id")
 
 
@@ -53,13 +53,14 @@ def token_overlap_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.round(F.least(F.lit(1.0), (2 * n("the", "of", "and", "de") + n("la", "der", "and")) / 8), 6).alias("score"))
 
 
-@query("""WITH f AS (SELECT DISTINCT o_custkey % 200 AS k, l_partkey AS feature FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 3 = 0), s AS (SELECT k, count(*) AS n FROM f GROUP BY 1)
-SELECT a.k AS a, b.k AS b, round(count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS score FROM f a JOIN f b ON a.feature = b.feature AND a.k < b.k JOIN s x ON x.k = a.k JOIN s y ON y.k = b.k GROUP BY 1, 2""")
+@query("""WITH f AS (SELECT DISTINCT o_custkey AS k, l_partkey AS feature FROM orders JOIN lineitem ON o_orderkey = l_orderkey), s AS (SELECT k, count(*) AS n FROM f GROUP BY 1),
+p AS (SELECT a.k AS a, b.k AS b, round(count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS score FROM f a JOIN f b ON a.feature = b.feature AND a.k <> b.k AND a.k % 20 = 0 JOIN s x ON x.k = a.k JOIN s y ON y.k = b.k GROUP BY 1, 2)
+SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b)::INT AS place FROM p QUALIFY place <= 5""")
 def jaccard_similar_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of customer groups by the parts they share."""
-    o = c.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 200).alias("k"))
-    f = c.read(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0").join(o, "l_orderkey").select("k", F.col("l_partkey").alias("feature"))
-    return op.similar(f, "k", "feature")
+    """Five customers most similar to each twentieth one by the parts they share (the limit is the feature)."""
+    o = c.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k"))
+    f = c.read(spark, sf_dir, "lineitem").join(o, "l_orderkey").select("k", F.col("l_partkey").alias("feature"))
+    return op.similar(f, o.where("k % 20 = 0"), "k", "feature", 5)
 
 
 @query("""SELECT doc_id, i - 1 AS sentence_no, length(s) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1)::INT AS i FROM documents) WHERE trim(s) <> ''""")
@@ -86,14 +87,22 @@ def relation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.rule_relations(op.mentions(rows, NAMES), rows, RULES)
 
 
-@query("""WITH t AS (SELECT DISTINCT conv_id AS doc_id, turn AS sentence_no, role || ':' || (length(text) % 5) AS entity FROM conversations UNION SELECT conv_id, turn, 'len:' || (length(text) % 7) FROM conversations)
+@query(None)
+def relation_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations that rules type, and those that sharing sentences suggests beside them (held against a plain scan in tests)."""
+    return op.relation_proposals(c.read(spark, sf_dir, "documents"), NAMES, RULES, 2)
+
+
+@query("""WITH t AS (SELECT DISTINCT conv_id AS doc_id, turn AS sentence_no, role || ':' || (length(text) % 5) AS entity FROM conversations UNION SELECT conv_id, turn, 'len:' || (length(text) % 7) FROM conversations),
+known AS (SELECT DISTINCT 'len:' || (length(text) % 7) AS a, role || ':' || (length(text) % 5) AS b FROM conversations WHERE turn = 0)
 SELECT a.entity AS a, b.entity AS b, count(*) AS support, round(least(0.5, 0.15::DOUBLE + 0.05::DOUBLE * count(*)), 6) AS confidence
-FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.sentence_no = b.sentence_no AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 2""")
+FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.sentence_no = b.sentence_no AND a.entity < b.entity WHERE NOT EXISTS (SELECT 1 FROM known k WHERE (k.a = a.entity AND k.b = b.entity) OR (k.b = a.entity AND k.a = b.entity)) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def cooccurrence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities that share a turn at least twice."""
+    """Entities that share a turn at least twice, but for those that the first turns have typed."""
     x = c.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sentence_no"), "role", F.length("text").alias("n"))
-    es = F.array(F.concat("role", F.lit(":"), (F.col("n") % 5).cast("string")), F.concat(F.lit("len:"), (F.col("n") % 7).cast("string")))
-    return op.cooccurrences(x.select("doc_id", "sentence_no", F.explode(es).alias("entity")), 2)
+    of_role, of_length = F.concat("role", F.lit(":"), (F.col("n") % 5).cast("string")), F.concat(F.lit("len:"), (F.col("n") % 7).cast("string"))
+    typed = x.where("sentence_no = 0").select(of_role.alias("entity"), of_length.alias("other"))
+    return op.cooccurrences(x.select("doc_id", "sentence_no", F.explode(F.array(of_role, of_length)).alias("entity")), 2, typed)
 
 
 CATEGORIES = [("^small", "small"), ("(?i)ring$", "ring"), ("widget|gear", "machine")]
