@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,3 +86,34 @@ def route(question: Column) -> Column:
 def retry_delay(status: Column, attempt: Column) -> Column:
     """Seconds to wait before the next attempt; null if there is none."""
     return F.when(first_match(status.cast("string"), HTTP, "error").isin("retry", "rate_limited"), F.least(F.lit(60.0), F.pow(F.lit(2.0), attempt)))
+
+
+def room(text: Column, names: list[str]) -> Column:
+    """Name, number, area and aliases of a room label such as ``101호 회의실 2 (12,5 m2)``; null if it is none.
+
+    A number may stand before the name, a small index after it; the area is in square metres. Labels over 40 characters
+    are none. A name with an index also goes by its spellings with and without a blank.
+    """
+    known = "|".join(sorted((re.escape(n) for n in names), key=lambda n: (-len(n), n)))
+    pattern = rf"(?i)^\s*(?:([A-Z]?\d{{1,4}}[A-Z]?)(?:호실|호)?\s*[-.:)]?\s*)?((?:{known})(?:\s*\d{{1,2}}(?![\d.,]))?)(?:\s*[(\[]?\s*(\d{{1,5}}(?:[.,]\d{{1,3}})?)\s*(?:㎡|m2|m²|sqm)\s*[)\]]?)?\s*$"
+    part = lambda i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
+    name = F.regexp_replace(F.trim(part(2)), r"\s+", " ")
+    base, index = F.trim(F.regexp_extract(name, r"^(.*?\D)\s*(\d{1,2})$", 1)), F.regexp_extract(name, r"^(.*?\D)\s*(\d{1,2})$", 2)
+    aliases = F.when(index != "", F.array_distinct(F.array(name, F.concat(base, index), F.concat(base, F.lit(" "), index))))
+    area = F.replace(part(3), F.lit(","), F.lit(".")).cast("double")
+    found = F.struct(name.alias("name"), part(1).alias("number"), F.when(area > 0, area).alias("area"), aliases.alias("aliases"))
+    return F.when(text.rlike(pattern) & (F.length(text) <= 40), found)
+
+
+# The semantic type of each schema type that is known.
+IFC_TYPES = {
+    "IFCPROJECT": "Project", "IFCSITE": "Site", "IFCBUILDING": "Building", "IFCBUILDINGSTOREY": "Storey", "IFCSPACE": "Space", "IFCZONE": "Zone", "IFCWALL": "Wall", "IFCWALLSTANDARDCASE": "Wall",
+    "IFCDOOR": "Door", "IFCWINDOW": "Window", "IFCCOLUMN": "Column", "IFCBEAM": "Beam", "IFCSLAB": "Slab", "IFCROOF": "Roof", "IFCSTAIR": "Stair", "IFCRAMP": "Ramp", "IFCFURNITURE": "Furniture",
+    "IFCBUILDINGELEMENTPROXY": "BuildingElementProxy",
+}
+
+
+def semantic_type(kind: Column) -> Column:
+    """The semantic type of a schema type in any case; ``IFCEntity`` if it is not known."""
+    table = F.create_map(*(F.lit(x) for pair in IFC_TYPES.items() for x in pair))
+    return F.coalesce(table[F.upper(kind)], F.lit("IFCEntity"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.lineage import cut
@@ -194,6 +195,41 @@ def search_text(fields: list[str], longest: int = 2000) -> Column:
     return F.left(F.trim(F.regexp_replace(F.concat_ws(" ", *(F.col(x).cast("string") for x in fields)), r"\s+", " ")), F.lit(longest))
 
 
+def pack_problems(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, prefix: str) -> DataFrame:
+    """Why a knowledge pack may not be loaded, a row for each (problem, key); none if it may.
+
+    Nodes (id, type, name) need all three, ids with the pack's prefix that occur once; edges (src, predicate, dst) need a
+    predicate and known ends, aliases (alias, node_id) a known node.
+    """
+    blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    problem = lambda rows, name, key: rows.select(F.lit(name).alias("problem"), F.col(key).alias("key"))
+    ids = nodes.where(F.col("id").isNotNull()).select("id").distinct()
+    unknown = lambda rows, end: rows.join(ids, F.col(end) == F.col("id"), "left_anti")
+    parts = [
+        problem(nodes.where(blank("id") | blank("type") | blank("name")), "incomplete node", "id"),
+        problem(nodes.where(~blank("id") & ~F.col("id").startswith(prefix)), "foreign id", "id"),
+        problem(nodes.where(~blank("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "duplicate id", "id"),
+        problem(unknown(edges, "src"), "unknown source", "src"),
+        problem(unknown(edges, "dst"), "unknown target", "dst"),
+        problem(edges.where(blank("predicate")), "edge without predicate", "src"),
+        problem(unknown(aliases, "node_id"), "unknown alias node", "alias"),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def load_pack(rows: DataFrame, problems: DataFrame, path: str, pack: str) -> None:
+    """Replace a pack's partition of a table, and no other; a pack with problems is refused."""
+    if first := problems.first():
+        raise ValueError(f"{pack}: {first['problem']} {first['key']}")
+    rows.withColumn("pack", F.lit(pack)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pack").parquet(path)
+
+
+def unload_pack(spark: SparkSession, path: str, pack: str) -> bool:
+    """Delete a pack's partition; whether there was one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/pack={pack}")
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+
+
 REGISTRY: dict[str, Callable] = {}
 
 

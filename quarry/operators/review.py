@@ -47,10 +47,70 @@ def replay(events: DataFrame, by: str) -> DataFrame:
     return steps.groupBy(by).agg(F.count("*").alias("decisions"), F.count_if("__bad").alias("inconsistent"), F.max("review_rev").alias("version"))
 
 
-def store(proposals: DataFrame, known: DataFrame, keep: int) -> DataFrame:
-    """What becomes of proposals (src, dst, type, confidence, support): a reason to skip them, or the merged row."""
-    pairs = known.select("src", "dst").distinct().withColumn("__known", F.lit(True))
-    judged = proposals.join(pairs, ["src", "dst"], "left")
-    reason = F.when(F.col("src") == F.col("dst"), "self_loop").when(F.col("__known"), "existing").otherwise("stored")
-    merged = judged.withColumn("outcome", reason).groupBy("src", "dst", "outcome").agg(F.max("confidence").alias("confidence"), F.count("*").alias("proposed"))
-    return merged.withColumn("evidences", F.least(F.col("proposed"), F.lit(keep)))
+def store(proposals: DataFrame, entities: DataFrame, types: DataFrame, relations: DataFrame, evidence: DataFrame, keep: int = 25) -> DataFrame:
+    """What becomes of proposals, a row for each (src, type, dst): outcome, confidence, evidence added and support.
+
+    ``proposals`` has a row for each span (src, type, dst, confidence, uri, locator); entities (key), types (type), relations
+    (src, type, dst, candidate, state, confidence) and evidence (src, type, dst, uri, locator) are what is stored, with one
+    row for each relation. The first reason that holds skips a proposal. Others create a candidate or update it: the
+    confidence never falls, and new spans are added while the relation has fewer than ``keep``.
+    """
+    key = ["src", "type", "dst"]
+    merged = proposals.groupBy(*key).agg(F.max("confidence").alias("proposed"))
+    there = lambda name, side: entities.select(F.col("key").alias(side)).distinct().withColumn(name, F.lit(True))
+    known = relations.select(*key, "candidate", "state", F.col("confidence").alias("held"))
+    rows = merged.join(there("has_src", "src"), "src", "left").join(there("has_dst", "dst"), "dst", "left")
+    rows = rows.join(types.select("type").distinct().withColumn("has_type", F.lit(True)), "type", "left").join(known, key, "left")
+    outcome = (
+        F.when(F.col("has_src").isNull() | F.col("has_dst").isNull(), "unknown endpoint")
+        .when(F.col("has_type").isNull(), "unknown relation type")
+        .when((F.col("src") == F.col("dst")) & (F.col("type") != "RELATED_TO"), "typed self-loop")
+        .when(~F.col("candidate"), "relation already exists")
+        .when(F.col("state") != "unverified", F.concat(F.lit("already reviewed ("), "state", F.lit(")")))
+        .when(F.col("state").isNull(), "created")
+        .otherwise("updated")
+    )
+    spans = [*key, "uri", "locator"]
+    have = evidence.select(*spans).distinct().groupBy(*key).agg(F.count("*").alias("have"))
+    fresh = proposals.select(*spans).distinct().join(evidence.select(*spans).distinct(), spans, "left_anti").groupBy(*key).agg(F.count("*").alias("fresh"))
+    rows = rows.withColumn("outcome", outcome).join(have, key, "left").join(fresh, key, "left").fillna(0, ["have", "fresh"])
+    stored = F.col("outcome").isin("created", "updated")
+    added = F.when(stored, F.least("fresh", F.greatest(F.lit(0).cast("long"), F.lit(keep) - F.col("have")))).otherwise(F.lit(0).cast("long"))
+    return rows.select(
+        *key, "outcome", F.when(stored, F.greatest("proposed", "held")).alias("confidence"), added.alias("added"), F.when(stored, F.col("have") + added).alias("support")
+    )
+
+
+def stored_evidence(proposals: DataFrame, evidence: DataFrame, keep: int = 25) -> DataFrame:
+    """The new spans (src, type, dst, uri, locator) that ``store`` adds: the first of each relation, up to ``keep`` with what it has."""
+    key = ["src", "type", "dst"]
+    spans = [*key, "uri", "locator"]
+    have = evidence.select(*spans).distinct().groupBy(*key).agg(F.count("*").alias("have"))
+    fresh = proposals.select(*spans).distinct().join(evidence.select(*spans).distinct(), spans, "left_anti").join(have, key, "left")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("uri", "locator"))
+    return fresh.withColumn("place", place).where(F.col("place") + F.coalesce("have", F.lit(0)) <= keep).select(*spans)
+
+
+def custom_kg(entities: DataFrame, relations: DataFrame, evidence: DataFrame, lines: int = 5) -> DataFrame:
+    """Chunks of a knowledge graph for a retrieval index: (kind, source_id, file_path, src, dst, keywords, content, weight).
+
+    Entities are (key, type, name); relations (relation_id, src, type, dst, state, confidence), of which those between two
+    known, different entities stay; evidence is (relation_id, uri), the first of each relation being named.
+    """
+    line = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    c = F.col
+    nodes = entities.select(
+        F.lit("entity").alias("kind"), line("kg:entity:", c("key")).alias("source_id"), line("kg://entity/", c("key")).alias("file_path"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"),
+        c("type").alias("keywords"), F.concat_ws("\n", line(c("name"), " (", c("type"), ")"), line("stable_key: ", c("key"))).alias("content"), F.lit(None).cast("double").alias("weight"),
+    )
+    place = F.row_number().over(Window.partitionBy("relation_id").orderBy("uri"))
+    first = evidence.select("relation_id", "uri").distinct().withColumn("place", place).where(c("place") <= lines)
+    named = first.groupBy("relation_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("uri")), lambda u: F.concat(F.lit("evidence: "), u)), "\n").alias("evidence"))
+    side = lambda x: entities.select(c("key").alias(x), c("name").alias(f"{x}_name"))
+    rows = relations.where("src <> dst").join(side("src"), "src").join(side("dst"), "dst").join(named, "relation_id", "left")
+    content = F.concat_ws("\n", line(c("src_name"), " --", c("type"), "--> ", c("dst_name")), line("stable_key: ", c("relation_id")), line("verification_state: ", c("state")), line("confidence: ", c("confidence").cast("string")), c("evidence"))
+    edges = rows.select(
+        F.lit("relation").alias("kind"), line("kg:relation:", c("relation_id")).alias("source_id"), line("kg://relation/", c("relation_id")).alias("file_path"), "src", "dst",
+        c("type").alias("keywords"), content.alias("content"), F.round(relation_weight(c("confidence"), c("state")), 6).alias("weight"),
+    )
+    return nodes.unionByName(edges)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import rules
 from quarry.operators import knowledge as op
 from quarry.operators.temporal import half_open
 from quarry.registry import query
@@ -194,3 +195,36 @@ def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = c.read(spark, sf_dir, "part").where("p_size < 50").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("there"))
     x = c.read(spark, sf_dir, "lineitem").join(p, "l_partkey", "left")
     return x.groupBy("l_orderkey").agg(F.bool_and(F.col("there").isNotNull() & (F.col("l_orderkey") % 7 != 0)).alias("valid"))
+
+
+PACK = """pn AS (SELECT CASE WHEN p_partkey % 97 = 0 THEN 'x:' ELSE 'kb:' END || CASE WHEN p_partkey % 53 = 0 THEN 1 ELSE p_partkey END AS id, p_type AS type, CASE WHEN p_partkey % 89 <> 0 THEN p_name END AS name FROM part),
+pe AS (SELECT 'kb:' || l_partkey AS src, CASE WHEN l_quantity < 50 THEN l_returnflag ELSE '' END AS predicate, 'kb:' || l_suppkey AS dst FROM lineitem), pa AS (SELECT p_name AS alias, 'kb:' || (p_partkey + p_size) AS node_id FROM part)"""
+
+
+@query("WITH " + PACK + """ SELECT 'incomplete node' AS problem, id AS key FROM pn WHERE coalesce(id, '') = '' OR coalesce(type, '') = '' OR coalesce(name, '') = ''
+UNION SELECT 'foreign id', id FROM pn WHERE NOT starts_with(id, 'kb:') UNION SELECT 'duplicate id', id FROM pn GROUP BY id HAVING count(*) > 1
+UNION SELECT 'unknown source', src FROM pe WHERE src NOT IN (SELECT id FROM pn) UNION SELECT 'unknown target', dst FROM pe WHERE dst NOT IN (SELECT id FROM pn)
+UNION SELECT 'edge without predicate', src FROM pe WHERE coalesce(predicate, '') = '' UNION SELECT 'unknown alias node', alias FROM pa WHERE node_id NOT IN (SELECT id FROM pn)""")
+def pack_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a pack made of parts and lines may not be loaded."""
+    k = F.col("p_partkey")
+    number = F.when(k % 53 == 0, 1).otherwise(k).cast("string")
+    p = c.read(spark, sf_dir, "part")
+    nodes = p.select(F.concat(F.when(k % 97 == 0, "x:").otherwise("kb:"), number).alias("id"), F.col("p_type").alias("type"), F.when(k % 89 != 0, F.col("p_name")).alias("name"))
+    of = lambda x: F.concat(F.lit("kb:"), F.col(x).cast("string"))
+    edges = c.read(spark, sf_dir, "lineitem").select(of("l_partkey").alias("src"), F.when(F.col("l_quantity") < 50, F.col("l_returnflag")).otherwise("").alias("predicate"), of("l_suppkey").alias("dst"))
+    aliases = p.select(F.col("p_name").alias("alias"), F.concat(F.lit("kb:"), (k + F.col("p_size")).cast("string")).alias("node_id"))
+    return op.pack_problems(nodes, edges, aliases, "kb:")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE split_part(p_name, ' ', 2) || CASE WHEN p_partkey % 3 = 0 THEN ' ' || (p_size % 9 + 1) ELSE '' END END AS name, CASE WHEN p_partkey % 3 <> 2 THEN (100 + p_size)::VARCHAR END AS number,
+  CASE WHEN p_partkey % 3 <> 2 THEN p_size + 0.5::DOUBLE END AS area, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 2) || (p_size % 9 + 1) END AS compact FROM part WHERE split_part(p_name, ' ', 2) IN ('ring', 'bolt', 'gear')""")
+def room_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms parsed from labels; some labels are none."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    word = F.element_at(F.split("p_name", " "), 2)
+    tail = F.concat(F.lit(" ("), size.cast("string"), F.lit(",5 m2)"))
+    number = F.concat((size + 100).cast("string"), F.lit("호 "))
+    text = F.when(k % 3 == 0, F.concat(number, word, F.lit(" "), (size % 9 + 1).cast("string"), tail)).when(k % 3 == 1, F.concat(number, word, tail)).otherwise(F.concat(F.lit("detail of the "), word))
+    rows = c.read(spark, sf_dir, "part").where(word.isin("ring", "bolt", "gear")).withColumn("room", rules.room(text, ["ring", "bolt", "gear"]))
+    return rows.select("p_partkey", "room.name", "room.number", "room.area", F.get("room.aliases", 1).alias("compact"))

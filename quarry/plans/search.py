@@ -10,30 +10,100 @@ from quarry.operators import search as op
 from quarry.registry import query
 from quarry.sources import concepts as c
 
-CHANNELS = """lex AS (SELECT p_partkey AS item, (CASE WHEN contains(p_name, 'red') THEN 1 ELSE 0 END + CASE WHEN contains(p_name, 'ring') THEN 1 ELSE 0 END)::DOUBLE AS score FROM part WHERE contains(p_name, 'red') OR contains(p_name, 'ring')),
+LEXICON = {"ECONOMY": ["economy", "cheap"], "SMALL": ["small", "tiny"], "PROMO": ["promo", "offer"]}
+QUESTION = "small red rings 20"
+
+
+def _bm25_sql(name: str, tokens: str, terms: list[str]) -> str:
+    """Scores of parts by BM25 over a list of tokens."""
+    wanted = ", ".join(f"'{t}'" for t in terms)
+    return f"""{name}_t AS (SELECT p_partkey AS item, {tokens} AS ts FROM part), {name}_p AS (SELECT term, item, count(*) AS tf FROM (SELECT item, unnest(ts) AS term FROM {name}_t) WHERE term IN ({wanted}) GROUP BY 1, 2),
+{name}_d AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY 1), {name}_w AS (SELECT count(*) AS docs, avg(len(ts)::DOUBLE) AS avg_len FROM {name}_t),
+{name} AS (SELECT item, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(ts)::DOUBLE / avg_len)))), 6) AS score
+  FROM {name}_p JOIN {name}_d USING (term) JOIN {name}_t USING (item) CROSS JOIN {name}_w GROUP BY 1)"""
+
+
+GRAMS_SQL = "flatten(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: list_transform(range(1, greatest(1, length(w) - 1)), lambda i: substr(w, i::INT, 3))))"
+GRAMS = sorted({w[i : i + 3] for w in ("small", "red", "rings") for i in range(len(w) - 2)})
+CHANNELS = (
+    _bm25_sql("bm", "regexp_extract_all(lower(p_name), '[a-z0-9]+')", ["small", "red", "rings"])
+    + ",\n"
+    + _bm25_sql("tri", GRAMS_SQL, GRAMS)
+    + """,
 dim AS (SELECT p_partkey AS item, round(1 - abs(p_size - 20) / 20.0::DOUBLE, 6) AS score FROM part WHERE abs(p_size - 20) / 20.0::DOUBLE <= 0.15),
-cls AS (SELECT p_partkey AS item, 1.0::DOUBLE AS score FROM part WHERE p_type = 'ECONOMY'),
-ranks AS (SELECT item, 1.0::DOUBLE AS weight, row_number() OVER (ORDER BY score DESC, item) AS place FROM lex QUALIFY place <= 100
-  UNION ALL SELECT item, 0.6::DOUBLE, row_number() OVER (ORDER BY score DESC, item) AS place FROM dim QUALIFY place <= 100
-  UNION ALL SELECT item, 1.2::DOUBLE, row_number() OVER (ORDER BY score DESC, item) AS place FROM cls QUALIFY place <= 100)"""
+cls AS (SELECT p_partkey AS item, p_retailprice AS score FROM part WHERE p_type = 'SMALL'),
+vec AS (SELECT v.vec_id AS item, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 1) q JOIN part ON p_partkey = v.vec_id),
+ranks AS (SELECT item, 1.0::DOUBLE AS weight, row_number() OVER (ORDER BY score DESC, item) AS place FROM bm QUALIFY place <= 200
+  UNION ALL SELECT item, 0.7::DOUBLE, row_number() OVER (ORDER BY score DESC, item) AS place FROM tri QUALIFY place <= 200
+  UNION ALL SELECT item, 0.8::DOUBLE, row_number() OVER (ORDER BY score DESC, item) AS place FROM vec QUALIFY place <= 200
+  UNION ALL SELECT item, 0.6::DOUBLE, row_number() OVER (ORDER BY score DESC, item) AS place FROM dim QUALIFY place <= 200
+  UNION ALL SELECT item, 1.2::DOUBLE, row_number() OVER (ORDER BY score DESC, item) AS place FROM cls QUALIFY place <= 200)"""
+)
 
 
 @query("WITH " + CHANNELS + " SELECT item, count(*) AS channels, round(round(sum(weight / (60 + place)), 9) * (1 + 0.15::DOUBLE * (count(*) - 1)), 6) AS score FROM ranks GROUP BY 1")
 def asset_search_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words, sizes and classes fused by weighted ranks, a hundred of each (the cap is the feature)."""
+    """Words, trigrams, vectors, classes and sizes fused by weighted ranks, two hundred of each (the cap is the feature)."""
+    from quarry.functions import vector as vec
+    from quarry.operators import text
+
+    terms = [t for t in QUESTION.split() if not t.isdigit()]
     p = c.read(spark, sf_dir, "part").withColumnRenamed("p_partkey", "item")
-    has = lambda w: F.when(F.col("p_name").contains(w), 1).otherwise(0)
+    words = F.regexp_extract_all(F.lower("p_name"), F.lit("([a-z0-9]+)"), F.lit(1))
+    grams = F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= 3, F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))))
+    ask = lambda ts: spark.range(1).select(F.lit(0).alias("query_id"), F.array(*map(F.lit, ts)).alias("terms"))
+    scored = lambda tokens, ts: text.bm25(p.select(F.col("item").alias("doc_id"), tokens.alias("tokens")), ask(ts)).select(F.col("doc_id").alias("item"), "score")
     error = F.abs(F.col("p_size") - 20) / 20.0
+    e = c.read(spark, sf_dir, "embeddings")
+    q = e.where("vec_id = 1").select(F.col("embedding").alias("q"))
+    near = e.join(p.select(F.col("item").alias("vec_id")), "vec_id").crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("item"), F.round(vec.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))  # one row
     return op.channels(
         {
-            "lex": (p.select("item", (has("red") + has("ring")).cast("double").alias("score")).where("score > 0"), 1.0),
-            "dim": (p.where(error <= 0.15).select("item", F.round(1 - error, 6).alias("score")), 0.6),
-            "cls": (p.where("p_type = 'ECONOMY'").select("item", F.lit(1.0).alias("score")), 1.2),
+            "bm25": (scored(words, terms), 1.0),
+            "trigram": (scored(grams, GRAMS), 0.7),
+            "vector": (near, 0.8),
+            "dims": (p.where(error <= 0.15).select("item", F.round(1 - error, 6).alias("score")), 0.6),
+            "class": (p.where(F.col("p_type").isin(op.lexicon_classes(terms, LEXICON))).select("item", F.col("p_retailprice").alias("score")), 1.2),
         },
-        100,
+        200,
+    )
+
+
+def asked_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as searchable objects: some carry a storey, others have it in their drawing's name."""
+    p, e = c.read(spark, sf_dir, "part"), c.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding")
+    level = F.concat((F.col("p_size") % 5 + 1).cast("string"), F.lit("F"))
+    return p.join(e, "p_partkey", "left").select(
+        F.col("p_partkey").alias("id"),
+        F.concat(F.lit("A-101 plan "), F.lower(level)).alias("name"),
+        F.col("p_name").alias("text"),
+        F.col("p_type").alias("kind"),
+        F.when(F.col("p_partkey") % 2 == 0, level).alias("storey"),
+        F.col("p_name").alias("label"),
+        F.col("p_brand").alias("project"),
+        "embedding",
     )
 
 
+GLOSSARY = {"crimson": "red", "crimson ring": "red ringg"}
+
+
+@query(None)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty best parts for a question of a glossary phrase and a storey (held against a plain scan in tests; the limit is the feature)."""
+    asked = op.parse("Crimson ring 3F widgets", {}, GLOSSARY)
+    probe = c.read(spark, sf_dir, "embeddings").where("vec_id = 1").first()["embedding"]
+    return op.hybrid(asked_objects(spark, sf_dir), asked, probe, {"project": None}, 40, ("STANDARD",))
+
+
+@query(None)
+def community_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six summaries for a question, of regions and the nations in them (held against a plain scan in tests; the limit is the feature)."""
+    r = c.read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(0).alias("level"), F.col("r_name").alias("title"), F.lit("region of nations").alias("summary"), F.lit("DONE").alias("status"))
+    n = c.read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.lit(1).alias("level"), F.col("n_name").alias("title"), F.concat(F.lit("nation number "), F.col("n_nationkey").cast("string")).alias("summary"), F.when(F.col("n_nationkey") % 7 == 0, "PENDING").otherwise("DONE").alias("status"))
+    return op.summaries(r.unionByName(n), "nation number 12", 40, 6)
+
+
 @query(None)
 def word_similarity_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity by the best contiguous extent (held against all extents in tests)."""
@@ -67,8 +137,7 @@ def space_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = c.read(spark, sf_dir, "embeddings").withColumnRenamed("label", "space")
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "space", "embedding")
     hit = (F.col("vec_id") % 5 == F.col("query_id") % 5) & (F.col("vec_id") != F.col("query_id"))
-    first = op.ranked_by_space(v, q).groupBy("query_id").agg(F.min(F.when(hit, F.col("place"))).alias("rank"))
-    return ranking.hits(first, [], "rank")
+    return ranking.hits(op.first_hits(v, q, hit), [], "rank")
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'B' || (o_orderkey % 5 + 1) WHEN 1 THEN (o_orderkey % 30 + 1) || 'F' WHEN 2 THEN 'RF' END AS storey FROM orders""")
@@ -144,12 +213,13 @@ def name_to_entity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("folded", F.lower("surface")).join(e, "folded").select("p_partkey", "c_custkey")
 
 
-@query("""SELECT n_nationkey, p_partkey FROM nation JOIN part ON contains('nation_' || (p_partkey % 30) || ' ' || p_name, lower(n_name) || ' ')""")
+@query("""WITH t AS (SELECT p_partkey, unnest(list_distinct(regexp_extract_all(lower('nation_' || (p_partkey % 30) || ' ' || p_name), '[a-z0-9_]+'))) AS w FROM part) SELECT n_nationkey, p_partkey FROM nation JOIN t ON lower(n_name) = w""")
 def alias_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases found inside texts; the aliases are 25 stated rows."""
-    a = c.read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lower("n_name"), F.lit(" ")).alias("alias"))
-    t = c.read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("nation_"), (F.col("p_partkey") % 30).cast("string"), F.lit(" "), "p_name").alias("t"))
-    return t.join(F.broadcast(a), F.col("t").contains(F.col("alias"))).select("n_nationkey", "p_partkey")
+    """Aliases found as words of texts: names meet by equality, however many there are."""
+    a = c.read(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("w"))
+    t = F.concat(F.lit("nation_"), (F.col("p_partkey") % 30).cast("string"), F.lit(" "), "p_name")
+    words = c.read(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(text_fn.tokens(t))).alias("w"))
+    return words.join(a, "w").select("n_nationkey", "p_partkey")
 
 
 @query("""SELECT DISTINCT ON (l_orderkey) l_orderkey AS document, l_partkey AS job, l_shipdate AS done_at FROM lineitem WHERE l_linestatus = 'F' ORDER BY l_orderkey, l_shipdate DESC, l_partkey""")

@@ -63,8 +63,8 @@ def object_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT p.p_partkey, p.p_type, (CASE WHEN contains(lower(p_name), 'ring') THEN 1.0 ELSE 0.0 END + CASE WHEN contains(lower(p_name), 'red') THEN 1.0 ELSE 0.0 END)::DOUBLE / 2 AS lex,
     list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS vec FROM part p LEFT JOIN embeddings e ON p_partkey = vec_id CROSS JOIN q)
 SELECT p_partkey, round(0.6::DOUBLE * lex + 0.4::DOUBLE * coalesce(vec, 0) + CASE WHEN p_type <> 'STANDARD' THEN 0.05::DOUBLE ELSE 0 END, 6) AS score FROM s WHERE lex > 0 OR 1 - vec < 0.6 ORDER BY score DESC, p_partkey LIMIT 40""")
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best forty parts by words, vector and kind (the limit is the feature)."""
+def literal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best forty parts by literal words, vector and kind (the limit is the feature); ``hybrid_search`` has all legs."""
     q = c.read(spark, sf_dir, "embeddings").where("vec_id = 1").select(F.col("embedding").alias("q"))
     e = c.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding")
     has = lambda w: F.when(F.lower("p_name").contains(w), 1.0).otherwise(0.0)

@@ -127,3 +127,45 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     attr = lambda x, a: F.regexp_extract(x, rf'\b{a}="([^"]*)"', 1)
     each = lambda tag: text.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(<{tag}\b[^>]*>)"), F.lit(1))).alias("t"))
     return each("node").select(attr("t", "id").alias("key")), each("edge").select(attr("t", "source").alias("src"), attr("t", "target").alias("dst"))
+
+
+def dxf_census(entities: DataFrame) -> DataFrame:
+    """How many entities of each kind every drawing has, from rows of ``dxf``."""
+    return entities.groupBy("file", "kind").agg(F.count("*").alias("n"))
+
+
+def ifc_objects(entities: DataFrame, project: str) -> DataFrame:
+    """Building objects of STEP entities (id, type, arguments): source id, semantic type, name, confidence and state.
+
+    The first argument is the global id, by which an object is known; relationship instances are no objects. Types that
+    are not known are kept for review.
+    """
+    from quarry.functions import rules
+
+    args = F.col("arguments")
+    text = lambda i: F.nullif(F.regexp_extract(args, r"^" + r"(?:'(?:[^']|'')*'|[^,'(]*|\([^)]*\)),\s*" * i + r"'((?:[^']|'')*)'", 1), F.lit(""))
+    kind = rules.semantic_type(F.col("type"))
+    rows = entities.where(F.col("type").startswith("IFC") & ~F.col("type").startswith("IFCREL"))
+    source = F.coalesce(text(0), F.col("id").cast("string"))
+    confidence = F.when(kind == "IFCEntity", 0.65).otherwise(1.0)
+    key = F.concat_ws("|", F.lit(project), F.lit("IFCEntity"), F.lit("IFC"), source)
+    return rows.select(
+        F.left(F.sha2(key, 256), F.lit(24)).alias("object_id"), source.alias("source_id"), kind.alias("type"), F.col("type").alias("schema_type"), text(2).alias("name"), confidence.alias("confidence"),
+        F.when(confidence > 0.95, "AUTO_ACCEPT").otherwise("REQUIRES_REVIEW").alias("state"), F.concat(F.lit(f"ifc://project/{project}/"), source).alias("geometry_ref"),
+    )
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """Settings of INI-like files (file, section, key, value): comments and blank lines are dropped, and the last of equal keys wins.
+
+    Lines are numbered within a file, and a section's name is the last one before.
+    """
+    from pyspark.sql import Window
+
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("nr", "line"))
+    lines = whole.withColumn("line", F.trim("line")).where("line <> '' and not line rlike '^[;#]'")
+    header = F.nullif(F.regexp_extract("line", r"^\[([^\]]*)\]$", 1), F.lit(""))
+    before = Window.partitionBy("file").orderBy("nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.withColumn("section", F.last(header, ignorenulls=True).over(before)).where(F.col("line").rlike(r"^[^\[=][^=]*="))
+    cut = rows.select("file", "section", F.trim(F.regexp_extract("line", r"^([^=]*)=", 1)).alias("key"), "nr", F.trim(F.regexp_extract("line", r"^[^=]*=(.*)$", 1)).alias("value"))
+    return cut.groupBy("file", "section", "key").agg(F.max_by("value", "nr").alias("value"))
