@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.ranking import with_firsts
+
 
 def wildcard(column: str, pattern: str) -> Column:
     """``*`` and ``?`` match any run and any character, in either case; a pattern without them must be equal."""
@@ -97,9 +99,8 @@ def blocks(objects: DataFrame) -> DataFrame:
 
 def groups(objects: DataFrame, by: list[str], keep: int) -> DataFrame:
     """Groups with their first object ids and the count of inferred ones."""
-    return objects.groupBy(*by).agg(
-        F.slice(F.array_sort(F.collect_list("object_id")), 1, keep).alias("first_ids"), F.count("*").alias("n"), F.count_if(F.col("state") == "AI_INFERRED").alias("inferred")
-    )
+    totals = objects.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("state") == "AI_INFERRED").alias("inferred"))
+    return with_firsts(totals, objects, by, ["object_id"], keep, {"first_ids": F.col("object_id")})
 
 
 def drawing_index(objects: DataFrame) -> DataFrame:

@@ -102,11 +102,17 @@ def label_communities(edges: DataFrame, rounds: int) -> DataFrame:
 
 
 def ancestors_by_depth(rows: DataFrame, by: str, order: str, depth: str, name: str) -> DataFrame:
-    """Parents in a pre-order list with depths: the last row before with a depth one less."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    stack = F.collect_list(F.struct(F.col(depth).alias("d"), F.col(name).alias("n"))).over(w)
-    parent = F.element_at(F.filter(stack, lambda x: x["d"] == F.col(depth) - 1), -1)["n"]
-    return rows.withColumn("parent", F.when(F.size(F.filter(stack, lambda x: x["d"] == F.col(depth) - 1)) > 0, parent))
+    """Parents in a pre-order list with depths: the last row before with a depth one less.
+
+    Rows meet the rows one level up in one window over each level, so that no row carries what comes before it.
+    """
+    key = lambda d: F.col(depth) + d
+    own = F.struct(*rows.columns)
+    above = rows.select(F.col(by).alias("in"), key(0).alias("level"), F.col(order).alias("at"), F.lit(0).alias("child"), F.struct(F.col(name).alias("name")).alias("parent"), F.lit(None).alias("row"))
+    below = rows.select(F.col(by).alias("in"), key(-1).alias("level"), F.col(order).alias("at"), F.lit(1).alias("child"), F.lit(None).alias("parent"), own.alias("row"))
+    w = Window.partitionBy("in", "level").orderBy("at", "child").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = above.unionByName(below).withColumn("parent", F.last("parent", ignorenulls=True).over(w)).where("child = 1")
+    return found.select("row.*", F.col("parent.name").alias("parent"))
 
 
 def waves(edges: list[tuple[str, str]]) -> list[list[str]]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.lineage import cut
+from quarry.operators.ranking import first_by, with_firsts
 
 STATES = {"verified": ("human_verified", "machine_verified"), "unverified": ("unverified", "candidate"), "rejected": ("rejected",)}
 
@@ -65,7 +66,8 @@ def resolve(refs: DataFrame, steps: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def attach(relations: DataFrame, evidence: DataFrame, keep: int) -> DataFrame:
     """Relations with their first evidences by source and place."""
-    per = evidence.groupBy("relation_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("source_uri", "locator"))), 1, keep).alias("evidences"))
+    first = first_by(evidence, ["relation_id"], [F.asc("source_uri"), F.asc("locator")], keep)
+    per = first.groupBy("relation_id").agg(F.array_sort(F.collect_list(F.struct("source_uri", "locator"))).alias("evidences"))
     none = F.expr("cast(array() as array<struct<source_uri:string,locator:bigint>>)")
     return relations.join(per, "relation_id", "left").withColumn("evidences", F.coalesce("evidences", none))
 
@@ -83,8 +85,8 @@ def queue_order() -> list[Column]:
 
 def merged_entities(rows: DataFrame, key: str, keep: int) -> DataFrame:
     """Occurrences of each canonical key: count, first values and first ids."""
-    firsts = lambda x: F.transform(F.slice(F.array_sort(F.collect_list(F.struct("id", F.col(x).alias("v")))), 1, keep), lambda s: s["v"])
-    return rows.groupBy(key).agg(F.count("*").alias("occurrences"), firsts("area").alias("areas"), F.slice(F.array_sort(F.collect_list("id")), 1, keep).alias("ids"))
+    totals = rows.groupBy(key).agg(F.count("*").alias("occurrences"))
+    return with_firsts(totals, rows, [key], ["id", "area"], keep, {"areas": F.col("area"), "ids": F.col("id")})
 
 
 def build(parts: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,8 +23,24 @@ def shared(spark: SparkSession) -> str:
     return folder
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again."""
-    path = f"{shared(df.sparkSession)}/quarry-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it again; it goes when the process ends."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_clean)
+    _written[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for path, spark in _written.items():
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session may have ended first; its folder goes with it
+            return

@@ -57,7 +57,7 @@ def inventory_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.reconcile(local, remote, "doc_id", "d")
 
 
-@query("""SELECT o_custkey, sha256(string_agg(x, chr(10) ORDER BY x)) AS digest FROM (SELECT o_custkey, concat_ws('|', o_orderkey, o_orderstatus) AS x FROM orders) GROUP BY 1""")
+@query("""SELECT o_custkey, sha256(concat_ws(':', count(*), sum(('0x' || substr(x, 1, 15))::BIGINT::HUGEINT), sum(('0x' || substr(x, 17, 15))::BIGINT::HUGEINT))) AS digest FROM (SELECT o_custkey, md5(concat_ws('|', o_orderkey, o_orderstatus)) AS x FROM orders) GROUP BY 1""")
 def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of each customer's orders, whatever their order."""
     return op.digest(c.read(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey", "o_orderstatus"])

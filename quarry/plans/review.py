@@ -33,7 +33,7 @@ SELECT relation_id, round(least(1.0, score), 3) AS reported, row_number() OVER (
 def review_queue_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First hundred of the review queue (the limit is the feature)."""
     votes = op.ledger(c.reviews(spark, sf_dir), "subject").select("weight_key", "thousandths")
-    rows = c.relations(spark, sf_dir).where("state = 'unverified'").withColumn("weight_key", F.concat(F.lit("user:"), (F.col("relation_id") % 10).cast("string"))).join(F.broadcast(votes), "weight_key", "left")
+    rows = c.relations(spark, sf_dir).where("state = 'unverified'").withColumn("weight_key", F.concat(F.lit("user:"), (F.col("relation_id") % 10).cast("string"))).join(votes, "weight_key", "left")
     scored = rows.select("relation_id", F.col("valid_from").alias("created_at"), F.when(F.col("relation_id") % 11 != 0, op.rank_value(F.col("confidence"), F.col("thousandths"))).alias("score"))
     top = scored.orderBy(*op.queue_order()).limit(100)
     from pyspark.sql import Window
