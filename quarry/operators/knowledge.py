@@ -157,23 +157,22 @@ def active_records(records: DataFrame) -> DataFrame:
     return records.where(~F.col("revoked")).join(replaced, "record_id", "left_anti")
 
 
-def latest_evidence(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Latest active evidence of each kind, and whether several compete."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("conflict", F.count("*").over(w) > 1).withColumn("__nr", F.row_number().over(w.orderBy(F.desc("seen_at"), "evidence_id")))
-    return ranked.where("__nr = 1").drop("__nr")
+def latest_evidence(rows: DataFrame, by: str, kind: str, active: Column, required: list[str]) -> DataFrame:
+    """Latest active evidence of every required kind of each owner, whether several compete, and null where it is missing."""
+    held = rows.where(active & F.col(kind).isin(required))
+    best = held.groupBy(by, kind).agg(F.min(F.struct((-F.unix_micros("seen_at")).alias("age"), "evidence_id")).alias("best"), (F.count("*") > 1).alias("conflict"))
+    owners = rows.select(by).distinct().withColumn(kind, F.explode(F.array(*map(F.lit, required))))
+    return owners.join(best, [by, kind], "left").select(by, kind, F.col("best.evidence_id").alias("evidence_id"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, deepest: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes that edges (src, dst) reach from roots (node), until nothing new appears."""
     seen = frontier = cut(roots.select("node").distinct())
-    for _ in range(deepest):
+    while not frontier.isEmpty():
         reached = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = cut(reached.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-    raise ValueError(f"nodes lie deeper than {deepest} steps")
+        seen = cut(seen.unionByName(frontier))
+    return seen
 
 
 def prioritised(parts: list[DataFrame], key: str, limit: int) -> DataFrame:

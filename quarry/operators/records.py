@@ -44,10 +44,10 @@ def choices(rows: DataFrame, key: str, allowed: Column, order: list[Column], lim
     return top.withColumn("number", F.row_number().over(Window.orderBy("__order", key))).drop("__order")  # over limit rows
 
 
-def compare_and_set(writes: DataFrame, by: str) -> DataFrame:
+def compare_and_set(writes: DataFrame, by: str, start: int | None = None) -> DataFrame:
     """Whether each write (source, expected, revision, at, event_id) was accepted, in the order of its source.
 
-    A source's first write is accepted, then what repeats its current revision or expects it. A refused write leaves
+    A source's first write is accepted (with ``start``, if it expects or repeats that), then what repeats its current revision or expects it. A refused write leaves
     the current revision as it is, so the order is a fold: rows of a source pass one task in order, and only its
     current revision is held.
     """
@@ -58,9 +58,12 @@ def compare_and_set(writes: DataFrame, by: str) -> DataFrame:
         for part in parts:
             accepted = []
             for key, expected, revision in zip(*(part.column(i).to_pylist() for i in at), strict=True):
-                good = key != source or revision == head or expected == head
+                first = key != source
+                if first:
+                    source, head = key, start
+                good = (first and start is None) or revision == head or expected == head
                 if good:
-                    source, head = key, revision
+                    head = revision
                 accepted.append(good)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(accepted, pa.bool_())], [*part.schema.names, "accepted"])
 

@@ -139,11 +139,12 @@ def active_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.active_records(r).select("record_id")
 
 
-@query("""SELECT l_partkey, l_returnflag, l_suppkey AS evidence_id, count(*) OVER (PARTITION BY l_partkey, l_returnflag) > 1 AS conflict FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_shipdate DESC, l_suppkey) = 1""")
+@query("""WITH e AS (SELECT l_partkey, l_returnflag, l_suppkey AS evidence_id, count(*) OVER (PARTITION BY l_partkey, l_returnflag) > 1 AS conflict FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag IN ('A', 'R') QUALIFY row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_shipdate DESC, l_suppkey) = 1),
+o AS (SELECT DISTINCT l_partkey, k AS l_returnflag FROM lineitem, (VALUES ('A'), ('R')) t(k)) SELECT l_partkey, l_returnflag, evidence_id, coalesce(conflict, false) AS conflict FROM o LEFT JOIN e USING (l_partkey, l_returnflag)""")
 def latest_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest evidence of each kind and whether others compete."""
-    x = c.read(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", F.col("l_suppkey").alias("evidence_id"), F.col("l_shipdate").alias("seen_at"))
-    return op.latest_evidence(x, ["l_partkey", "l_returnflag"]).select("l_partkey", "l_returnflag", "evidence_id", "conflict")
+    """Latest active evidence of each required kind, whether others compete, and what is missing."""
+    x = c.read(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", F.col("l_suppkey").alias("evidence_id"), F.col("l_shipdate").cast("timestamp").alias("seen_at"))
+    return op.latest_evidence(x, "l_partkey", "l_returnflag", F.col("l_linestatus") == "F", ["A", "R"])
 
 
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 3 + 1 AS dst FROM part), walk(node) AS (SELECT p_partkey FROM part WHERE p_partkey < 3 UNION SELECT dst FROM walk JOIN e ON node = src) SELECT node FROM walk""")
