@@ -512,7 +512,7 @@ def test_leaks_equal_brute_force_by_either_way(spark, monkeypatch):
         assert left == Counter((d, t) for (d, t), w in zip(docs, want, strict=True) if not w[1])
 
 
-def base(text):
+def base_of(text):
     ws = words(text)
     seen, dup = set(), 0
     for line in (text or "").split("\n"):
@@ -529,7 +529,7 @@ def base(text):
 
 def test_quality_counts_and_verdicts(docs, rows):
     got = quality.judge(docs).collect()
-    assert sorted(str((r.doc_id, *r[1:7])) for r in got) == sorted(str((d, *base(t))) for d, t, *_ in rows)
+    assert sorted(str((r.doc_id, *r[1:7])) for r in got) == sorted(str((d, *base_of(t))) for d, t, *_ in rows)
     assert not any(r.kept for r in got if r.base_failed)
     kept = quality.keep(docs)
     assert kept.columns == docs.columns
@@ -574,8 +574,8 @@ def test_quality_judges_small_tables_and_takes_no_reference_from_null(spark):
     assert all(r.char_distance is None and r.kept for r in alone)
 
 
-def test_quality_distances_equal_brute_force(spark, docs, rows):
-    """Histograms, references and Jensen-Shannon distances from their definitions, in plain Python."""
+def distances_by_hand(rows):
+    """Distances of each row (id, text, lang, ...) from their definitions: histograms, references and Jensen-Shannon distance."""
 
     def char_class(c):
         if c < "\x80":
@@ -597,25 +597,29 @@ def test_quality_distances_equal_brute_force(spark, docs, rows):
         m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
         return math.sqrt(max(0, sum(sum(n * math.log2(n / m[k]) for k, n in x.items() if n) for x in (p, q)) / 2))
 
-    more = [(5000, "𠀀😀 " * 120, None, None), (5001, "ab 𠀀 cd " * 90, "xx", None)]
     chars, cells = {}, {}
-    for _, t, lang, _ in rows + more:
+    for _, t, lang, *_ in rows:
         if t and lang:
             chars.setdefault(lang, Counter()).update(map(char_class, t))
             cells.setdefault(lang, Counter()).update(map(cell, words(t)))
     common = {lang: [k for k, _ in sorted(x.items(), key=lambda y: (-y[1], y[0]))[: quality.COMMON]] for lang, x in cells.items()}
     fold = lambda lang, x: Counter({k: sum(n for y, n in x.items() if (y if y in common[lang] else None) == k) for k in [*common[lang], None]})
-    want = []
-    for d, t, lang, _ in rows + more:
+    out = []
+    for _, t, lang, *_ in rows:
         h, w = Counter(map(char_class, t or "")), Counter(map(cell, words(t)))
         c = min((distance(h, x) if lang else distance(blind(h), blind(x)) for x in chars.values()), default=None) if len(t or "") >= 200 else None
-        v = min(distance(fold(x, w), fold(x, cells[x])) for x in cells) if lang and len(words(t)) >= 40 else None
-        want.append((d, c and round(c, 9), v and round(v, 9)))
+        v = min((distance(fold(x, w), fold(x, cells[x])) for x in cells if cells[x]), default=None) if lang and len(words(t)) >= 40 else None
+        out.append((c, v))
+    return out
+
+
+def test_quality_distances_equal_brute_force(spark, docs, rows):
+    more = [(5000, "\U00020000\U0001f600 " * 120, None, None), (5001, "ab \U00020000 cd " * 90, "xx", None)]
+    want = [(r[0], c and round(c, 9), v and round(v, 9)) for r, (c, v) in zip(rows + more, distances_by_hand(rows + more), strict=True)]
     df = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(r[0], r[1], r[2]) for r in more], "doc_id long, text string, lang string"))
     got = [(r.doc_id, r.char_distance and round(r.char_distance, 9), r.word_distance and round(r.word_distance, 9)) for r in quality.judge(df).collect()]
     assert sum(w[1] is not None for w in want) > 20
-    for x, y in zip(sorted(map(str, got)), sorted(map(str, want)), strict=True):
-        assert x == y
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def place(doc_id, n, weights=None):
@@ -924,6 +928,94 @@ def test_pipeline_stages_keep_columns(spark):
     assert corpus_pipeline.run(spark, sf).count() == last.count()
 
 
+def mixed_by_hand(rows):
+    """Rows as often as systematic sampling takes them: sizes in order along each source, one offset, a copy at each integer."""
+    total = Counter()
+    for _, t, _, x in rows:
+        total[x] += len(words(t))
+    order = sorted((x for x in total if x is not None), key=str.encode) + [x for x in total if x is None]
+    weight = {x: (5, 2, 1)[i % 3] for i, x in enumerate(order)}
+    target, left, live = {}, 1.5 * sum(total.values()), set(order)
+    while live:
+        share = {x: left * weight[x] / sum(weight[y] for y in live) for x in live}
+        over = {x for x in live if share[x] > 2 * total[x]}
+        target |= {x: 2.0 * total[x] for x in over} if over else share
+        left -= sum(2 * total[x] for x in over)
+        live = live - over if over else set()
+    out = []
+    for x in order:
+        along = sorted((r for r in rows if r[3] == x), key=lambda r: (len(words(r[1])), r[0] % 64, r[0]))
+        each = target[x] / total[x] if total[x] else 0.0
+        shift = int(hashlib.md5(("mix" + (x or "")).encode()).hexdigest()[:8], 16) / 2**32
+        for i, r in enumerate(along):
+            out += [r] * (math.floor((i + 1) * each + shift) - math.floor(i * each + shift))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All five stages in plain Python, each on what the one before kept, against the rows that run() returns."""
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    common = "the of river stone and walked is home".split()
+    text = lambda n: ". ".join(" ".join(rng.choice(common) if rng.random() < 0.6 else f"w{rng.randrange(3000)}" for _ in range(12)) for _ in range(n))
+    base = [text(rng.choice([1, 4, 9])) for _ in range(40)]
+    rows = [(i, t, "en", f"s{i % 4}") for i, t in enumerate(base)]
+    rows += [(100 + i, base[i], "en", "s1") for i in range(0, 30, 3)]  # exact copies
+    rows += [(200 + i, base[i] + " added words", "en", "s2") for i in range(1, 30, 4)]  # near copies, or not
+    rows += [(300 + i, "$%#&| " * 30 + " ".join(f"{rng.random():.6f}$%#&" for _ in range(60)), "en", "s0") for i in range(3)]  # junk
+    items = [(i, text(3)) for i in range(4)]
+    rows += [(400 + i, text(2) + " " + x + " " + text(2), "en", "s3") for i, x in items[:3]]  # leaks
+    rows += [(500, None, "en", "s1"), (501, "", None, None), (502, text(3), None, None)]
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+
+    far = distances_by_hand(rows)
+    good = [r for r, (c, v) in zip(rows, far, strict=True) if not base_of(r[1])[5] and (c or 0) <= quality.MAX_CHAR_DISTANCE and (v or 0) <= quality.MAX_WORD_DISTANCE]
+    assert not {r[0] for r in good} & {300, 301, 302, 500, 501}
+    _, comp = components(good, 5, 80)
+    least = {}
+    for r, k in zip(good, comp, strict=True):
+        least[k] = min(least.get(k, r[0]), r[0])
+    single = [r for r in good if r[0] in least.values()]
+    assert len(single) < len(good) - 8
+
+    def leaks(t):
+        ws = re.findall(r"\w+", t.lower())
+        grams = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+        xs = [re.findall(r"\w+", x.lower()) for _, x in items]
+        return any(grams & {tuple(x[i : i + 5]) for i in range(len(x) - 4)} and tiled(ws, x) >= 0.8 * len(x) for x in xs)
+
+    clean = [r for r in single if not leaks(r[1])]
+    assert {r[0] for r in single} - {r[0] for r in clean} == {400, 401, 402}
+    mixed = mixed_by_hand(clean)
+    want = Counter((d, len(t.encode()) + 1, zlib.crc32(t.encode()), place(d, 16)[2], place(d, 17)[2]) for d, t, *_ in mixed)
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.grown_shard) for r in got) == want
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Stages that filter rows leave alone columns that are called like their own."""
+    names = ["k1", "k2", "quarry_k1", "quarry_k2", "quarry_id", "quarry_t", "component", "least", "t", "n", "id", "item_ids", "kept", "keep", "cell", "rank", "piece", "row"]
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 30), "en", "s", *range(len(names))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{x} long" for x in names))
+    bench = spark.createDataFrame([(1, rows[2][1])], "item_id long, text string")
+    for limit in (16 << 20, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(decontaminate, "BLOCK_BYTES", limit)
+            out = decontaminate.clean(df, bench)
+            assert out.columns == df.columns
+            assert sorted(map(tuple, out.collect())) == [r for r in rows if r[0] != 2]
+    out = quality.keep(df)
+    assert out.columns == df.columns
+    assert {tuple(r) for r in out.collect()} <= set(rows)
+
+
 def test_queries_match_their_sql(spark):
     import duckdb
 
