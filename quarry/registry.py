@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-MODULES = ("temporal", "catalog", "ranking", "review", "dedup", "text", "vector", "graph", "regulation", "spatial", "diff", "streaming", "search", "knowledge", "records", "linked")
+MODULES = ("temporal", "catalog", "ranking", "review", "dedup", "text", "vector", "graph", "regulation", "spatial", "diff", "streaming", "search", "knowledge", "records", "linked", "files")
 
 
 def query(sql: str | None) -> Callable[[Query], Query]:

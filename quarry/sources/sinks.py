@@ -25,6 +25,13 @@ def tables(parts: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
+def mirror(parts: dict[str, DataFrame], database: str) -> None:
+    """Each table under its name in a database, replaced as a whole."""
+    for name, df in parts.items():
+        df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        df.write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")
+
+
 def csv(df: DataFrame, path: str) -> None:
     """Comma-separated values with a header."""
     df.write.mode("overwrite").option("header", "true").csv(path)
