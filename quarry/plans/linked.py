@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as text_fn
@@ -129,3 +129,109 @@ def overlay_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     heritage = F.struct(F.lit("heritage").alias("overlay"), state(hit == 1, known > 1).alias("state"))
     rows = c.read(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(flood, heritage)).alias("x")).select("p_partkey", "x.*")
     return rows.where("state is not null")
+
+
+@query(
+    """WITH live AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 7 = 0 THEN p_name || '!' ELSE p_name END AS name, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_brand END AS brand, p_size AS size FROM part WHERE p_partkey % 10 <> 0)
+SELECT p_partkey AS key, list_filter([CASE WHEN p_name IS DISTINCT FROM name THEN 'name' END, CASE WHEN p_brand IS DISTINCT FROM brand THEN 'brand' END, CASE WHEN p_size IS DISTINCT FROM size THEN 'size' END], lambda x: x IS NOT NULL) AS reasons,
+  CASE WHEN key IS NULL THEN 'missing' WHEN p_name IS DISTINCT FROM name OR p_brand IS DISTINCT FROM brand OR p_size IS DISTINCT FROM size THEN 'mismatch' ELSE 'match' END AS state FROM part LEFT JOIN live ON key = p_partkey"""
+)
+def identity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether live rows are what their sources say, and in which fields they are not."""
+    p, k = c.read(spark, sf_dir, "part"), F.col("p_partkey")
+    live = p.where("p_partkey % 10 <> 0").select(k, F.when(k % 7 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("name"), F.when(k % 11 != 0, F.col("p_brand")).alias("brand"), F.col("p_size").alias("size"), F.lit(True).alias("there"))
+    differs = lambda field: F.when(~F.col(f"p_{field}").eqNullSafe(F.col(field)), field)
+    rows = p.join(live, "p_partkey", "left").withColumn("reasons", F.array_compact(F.array(*map(differs, ("name", "brand", "size")))))
+    return rows.select(k.alias("key"), "reasons", F.when(F.col("there").isNull(), "missing").when(F.size("reasons") > 0, "mismatch").otherwise("match").alias("state"))
+
+
+@query(
+    c.with_(c.OBJECTS)
+    + """SELECT DISTINCT left(sha256(object_id || '|' || document), 16) AS record_id, lower(kind) AS kind, label || ' ' || block || ' on ' || layer AS text, 'doc/' || document || '#' || layer AS locator, state = 'OBSERVED' AS citable FROM objects"""
+)
+def record_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of a snapshot as records with text, locator and whether they may be cited."""
+    o, at = c.objects(spark, sf_dir), lambda x: F.col(x).cast("string")
+    return o.select(
+        F.left(F.sha2(F.concat_ws("|", "object_id", at("document")), 256), F.lit(16)).alias("record_id"),
+        F.lower("kind").alias("kind"),
+        F.concat(F.concat_ws(" ", "label", "block"), F.lit(" on "), "layer").alias("text"),
+        F.concat(F.lit("doc/"), at("document"), F.lit("#"), "layer").alias("locator"),
+        (F.col("state") == "OBSERVED").alias("citable"),
+    ).distinct()
+
+
+@query(
+    c.with_(c.FILES)
+    + """SELECT 'empty' AS finding, path FROM files WHERE bytes = 0 UNION ALL SELECT 'oversize', path FROM files WHERE bytes > 20000 UNION ALL SELECT 'unsupported', path FROM files WHERE ext NOT IN ('en', 'de', 'fr')
+UNION ALL SELECT 'duplicate', path FROM files QUALIFY count(*) OVER (PARTITION BY sha256) > 1 AND path <> min(path) OVER (PARTITION BY sha256)"""
+)
+def preflight_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a collection's files fail before they are taken in."""
+    f = c.files(spark, sf_dir)
+    first = f.groupBy("sha256").agg(F.min("path").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = f.join(first, "sha256").where("path <> first").select(F.lit("duplicate").alias("finding"), "path")
+    tests = {"empty": F.col("bytes") == 0, "oversize": F.col("bytes") > 20000, "unsupported": ~F.col("ext").isin("en", "de", "fr")}
+    found = f.select("path", F.explode(F.array_compact(F.array(*(F.when(t, n) for n, t in tests.items())))).alias("finding"))
+    return found.select("finding", "path").unionByName(copies)
+
+
+@query(
+    """WITH levels AS (SELECT r_name AS level, r_regionkey * 12 AS low, r_regionkey * 12 + 12 AS high FROM region)
+SELECT p_partkey, level, CASE WHEN p_name LIKE '%bolt%' OR p_name LIKE '%gear%' THEN 'steel' WHEN p_name LIKE '%ring%' THEN 'glass' ELSE 'other' END AS material, CASE WHEN p_type = 'SMALL' THEN CASE WHEN p_size < 20 THEN 'Window' ELSE 'Door' END ELSE p_type END AS element
+FROM part LEFT JOIN levels ON p_size >= low AND p_size < high"""
+)
+def build_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of elements: the level whose heights hold theirs, a material class and what openings really are."""
+    levels = c.read(spark, sf_dir, "region").select(F.col("r_name").alias("level"), (F.col("r_regionkey") * 12).alias("low"), (F.col("r_regionkey") * 12 + 12).alias("high"))
+    # levels are found by the cells of heights that they cover
+    cells = levels.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / 10), F.floor((F.col("high") - 1) / 10))))
+    p = c.read(spark, sf_dir, "part").withColumn("cell", F.floor(F.col("p_size") / 10))
+    inside = (p["cell"] == cells["cell"]) & (F.col("p_size") >= F.col("low")) & (F.col("p_size") < F.col("high"))
+    element = F.when(F.col("p_type") == "SMALL", F.when(F.col("p_size") < 20, "Window").otherwise("Door")).otherwise(F.col("p_type"))
+    return p.join(cells, inside, "left").select("p_partkey", "level", text_fn.first_match(F.col("p_name"), [("bolt|gear", "steel"), ("ring", "glass")], "other").alias("material"), element.alias("element"))
+
+
+@query(
+    c.with_(c.OBJECTS)
+    + """, o AS (SELECT DISTINCT 'obj:' || object_id AS obj, 'doc:' || document AS doc, 'block:' || block AS block FROM objects),
+n AS (SELECT obj AS key, 'Instance' AS type FROM o UNION SELECT doc, 'Model' FROM o UNION SELECT block, 'Definition' FROM o), e AS (SELECT doc AS src, 'contains' AS type, obj AS dst FROM o UNION SELECT obj, 'instanceOf', block FROM o)
+SELECT 'nodes' AS part, type, count(*) AS n, count(DISTINCT key) AS keys FROM n GROUP BY 2 UNION ALL SELECT 'edges', type, count(*), count(DISTINCT src) FROM e GROUP BY 2"""
+)
+def model_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges of models, instances and definitions, counted by type."""
+    key = lambda kind, x: F.concat(F.lit(f"{kind}:"), F.col(x).cast("string"))
+    o = c.objects(spark, sf_dir).select(key("obj", "object_id").alias("obj"), key("doc", "document").alias("doc"), key("block", "block").alias("block")).distinct()
+    node = lambda x, kind: F.struct(F.lit("nodes").alias("part"), F.lit(kind).alias("type"), F.col(x).alias("key"), F.lit("").alias("dst"))
+    edge = lambda a, kind, b: F.struct(F.lit("edges").alias("part"), F.lit(kind).alias("type"), F.col(a).alias("key"), F.col(b).alias("dst"))
+    rows = o.select(F.explode(F.array(node("obj", "Instance"), node("doc", "Model"), node("block", "Definition"), edge("doc", "contains", "obj"), edge("obj", "instanceOf", "block"))).alias("x")).select("x.*").distinct()
+    return rows.groupBy("part", "type").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, i - 1 AS pos, trim(s) AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1)::INT AS i FROM documents) WHERE trim(s) <> '')
+SELECT 'doc:' || doc_id AS src, 'HAS_SECTION' AS type, 'sec:' || doc_id || '/' || pos AS dst, sha256(s) AS digest FROM l
+UNION ALL SELECT 'sec:' || doc_id || '/' || prior, 'NEXT', 'sec:' || doc_id || '/' || pos, NULL FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM l) WHERE prior IS NOT NULL"""
+)
+def document_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and their lines as edges: what a document holds, and what follows what."""
+    lines = c.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "s")).withColumn("s", F.trim("s")).where("s <> ''")
+    doc, sec = F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), lambda at: F.concat(F.lit("sec:"), F.concat_ws("/", F.col("doc_id").cast("string"), F.col(at).cast("string")))
+    rows = lines.select("doc_id", "at", F.sha2("s", 256).alias("digest")).withColumn("prior", F.lag("at").over(Window.partitionBy("doc_id").orderBy("at")))
+    holds = rows.select(doc.alias("src"), F.lit("HAS_SECTION").alias("type"), sec("at").alias("dst"), "digest")
+    follows = rows.where("prior is not null").select(sec("prior").alias("src"), F.lit("NEXT").alias("type"), sec("at").alias("dst"), F.lit(None).cast("string").alias("digest"))
+    return holds.unionByName(follows)
+
+
+@query(
+    """WITH s AS (SELECT p_brand AS project, CASE WHEN p_size % 6 = 0 THEN -(p_size // 6) ELSE p_size END AS floor, p_type FROM part)
+SELECT project, max(floor)::INT AS highest, CASE WHEN min(floor) < 0 THEN -min(floor)::INT END AS deepest, count(DISTINCT p_type) AS types, count(*) AS objects FROM s GROUP BY 1"""
+)
+def project_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highest and deepest floor of each project, and what it holds."""
+    size = F.col("p_size")
+    storey = F.when(size % 6 == 0, F.concat(F.lit("B"), F.floor(size / 6).cast("string"))).otherwise(F.concat(size.cast("string"), F.lit("F")))
+    number = F.regexp_extract("storey", r"(\d+)", 1).cast("int")
+    rows = c.read(spark, sf_dir, "part").select(F.col("p_brand").alias("project"), storey.alias("storey"), "p_type").withColumn("floor", F.when(F.col("storey").startswith("B"), -number).otherwise(number))
+    lowest = F.min("floor")
+    return rows.groupBy("project").agg(F.max("floor").alias("highest"), F.when(lowest < 0, -lowest).alias("deepest"), F.countDistinct("p_type").alias("types"), F.count("*").alias("objects"))
