@@ -7,8 +7,7 @@ an ``article`` element the whole element does.
 
 Names are a penalty, no verdict: an element whose tag, class, id or role says that it is something else (a menu,
 advert, sidebar, comment and so on) counts a tenth in the sums of its parents, one that merely mentions such a word
-(``with-sidebar``, ``ad-free``) a half, and one named by class that holds the page's ``h1``, ``main`` or an unnamed ``article``
-counts in full. What lies on the path to the greatest sum is never cut; other elements with the full penalty are.
+(``with-sidebar``, ``ad-free``) a half, and one named by class that holds the page's ``h1`` or ``main`` counts in full. What lies on the path to the greatest sum is never cut; other elements with the full penalty are.
 Only what is no text of the page in any case (scripts, styles, controls, hidden elements) leaves the tree before.
 
 Defined results: a null or empty page, and one without text in its body, gives an empty text; unclosed and misnested
@@ -194,10 +193,7 @@ def weigh(nodes: list[Node]) -> None:
             x.weight = NAMED
         elif x.attrs and x.tag not in ("html", "body", "main"):
             x.weight = named(x.attrs)
-        if x.tag in ("h1", "main"):
-            x.holds = True
-        elif x.tag == "article" and x.weight == 1.0:
-            x.holds = True
+        x.holds = x.tag in ("h1", "main")
     for x in reversed(nodes):
         if x.holds and x.tag not in BESIDE - {"form"} and x.tag != "header":
             x.weight = 1.0

@@ -86,8 +86,8 @@ class Ledger:
 
 
 def known(ledger: DataFrame) -> DataFrame:
-    """One row for each blob of this rule version."""
-    return ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "spans").dropDuplicates(["blob"])
+    """Blobs of this rule version and their findings, as often as the ledger holds them."""
+    return ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "spans")
 
 
 def addressed(versions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -107,7 +107,7 @@ def unseen(held: DataFrame, ledger: DataFrame | None) -> DataFrame:
 def to_paths(held: DataFrame, ledger: DataFrame) -> DataFrame:
     """(path, blob, spans): a ledger's findings for every row of (path, blob, ...), as often as the row is there."""
     rows = settle(held.groupBy("path", "blob").agg(F.count("*").alias("n")))
-    hits = known(ledger).where(F.size("spans") > 0).select("blob", "spans")
+    hits = known(ledger).where(F.size("spans") > 0).dropDuplicates(["blob"])
     found = settle(skew_join(rows, hits, ["blob"], ["path"], "left").select("path", "blob", "n", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans")))
     discard(rows)
     return expanded(found, "n", "copy").select("path", "blob", "spans")

@@ -796,6 +796,9 @@ def test_html_cuts_what_stands_beside_the_article():
     for around in ("<div>{}</div>", "<main><div>{}</div></main>", "<article>{}</article>", "<div class='page with-sidebar'><div class='text'>{}</div></div>"):
         page = f"<html><body><header><p>Site name</p></header>{beside}{around.format(''.join(f'<p>{p}</p>' for p in article))}{after}</body></html>"
         assert html.extract(page) == "\n\n".join(article)
+    said = "".join(f"<article><p>{sentences(rng, 40)}</p></article>" for _ in range(12))
+    page = f"<html><body><article>{''.join(f'<p>{p}</p>' for p in article)}</article><section id='comments'>{said}</section></body></html>"
+    assert html.extract(page) == "\n\n".join(article)
     inside = f"<html><body><article><p>{article[0]}</p><div class='share-buttons'>Share this</div><p>{article[1]}</p>{comments}</article></body></html>"
     assert html.extract(inside) == "\n\n".join(article[:2])
 
