@@ -14,7 +14,7 @@ from quarry.operators import dedup, graph, knowledge, ranking, records, regulati
 from quarry.operators import text as text_op
 from quarry.plans import search as search_plans
 from quarry.plans import text as text_plans
-from quarry.sources import concepts, readers
+from quarry.sources import concepts, readers, sinks
 
 registry.load()
 SF = "/root/testdata/sf0.001"
@@ -284,3 +284,22 @@ def test_similar_owners_and_typed_pairs(spark):
     found = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (1, 0, "c"), (2, 0, "a"), (2, 0, "b"), (2, 0, "c")], "doc_id long, sentence_no long, entity string")
     typed = spark.createDataFrame([("b", "a")], "entity string, other string")
     assert {(r.a, r.b) for r in text_op.cooccurrences(found, 2, typed).collect()} == {("a", "c"), ("b", "c")}
+
+
+@tables
+@pytest.mark.parametrize("name", ["alias_contains_join", "jaccard_similar_projects", "title_block_values", "conflict_overlap_selfjoin", "nearest_rank_percentiles", "element_groups", "turn_parents", "content_digests"])
+def test_plans_have_no_nested_loops_and_collect_no_whole_group(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
+    assert "CartesianProduct" not in plan
+    if name in ("nearest_rank_percentiles", "turn_parents", "content_digests"):
+        assert "collect_list" not in plan
+    if name == "element_groups":
+        assert "WindowGroupLimit" in plan  # ids are ranked, and cut in every task, before they are collected
+
+
+def test_tables_are_mirrored(spark):
+    sinks.mirror({"edges": spark.createDataFrame([("a", "b")], "src string, dst string")}, "mirrored")
+    sinks.mirror({"edges": spark.createDataFrame([("a", "c"), ("b", "c")], "src string, dst string")}, "mirrored")
+    assert sorted(map(tuple, spark.table("mirrored.edges").collect())) == [("a", "c"), ("b", "c")]
+    spark.sql("DROP DATABASE mirrored CASCADE")
