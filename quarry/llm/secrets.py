@@ -30,6 +30,8 @@ RULES = {
 }
 #: Changes with RULES; a ledger's entries of other versions are not reused.
 RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:12]
+#: Versions of the corpus that ``report`` takes in one after the other.
+INCREMENTS = 2
 SPANS = "array<struct<start:int,nr:int,kind:string,end:int>>"
 
 
@@ -128,18 +130,17 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-_ledgers: dict[str, str] = {}
-
-
 def report(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
-    """Counts, digest and spans of each document; without a ledger, one that the session keeps in the shared folder."""
-    spark = docs.sparkSession
-    if ledger is None:
-        app = spark.sparkContext.applicationId
-        if app not in _ledgers:
-            _ledgers[app] = scratch(spark)
-        ledger = Ledger(spark, _ledgers[app])
-    found = update(docs, ledger, path="doc_id")
+    """Counts, digest and spans of each document.
+
+    Documents are taken in as INCREMENTS successive versions of the corpus, of which each scans only what the ledger
+    lacks. Without a ledger a new, empty one is used, so that a call does all of its work; one that is handed in is kept.
+    """
+    ledger = ledger or Ledger(docs.sparkSession, scratch(docs.sparkSession))
+    held = addressed(docs, "doc_id")
+    for i in range(INCREMENTS):
+        ledger.append(unseen(held.where(F.pmod(F.xxhash64("path"), F.lit(INCREMENTS)) == i), ledger.read()))
+    found = to_paths(held, ledger.read())
     base = ("assign", "access", "hex")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(

@@ -747,6 +747,10 @@ def test_what_the_ledger_says_is_not_scanned_again(spark, tmp_path):
     blob = hashlib.sha256(b"token=abcdefgh1").hexdigest()
     ledger.append(spark.createDataFrame([(blob, secrets.RULE_VERSION, [])], f"blob string, rule_version string, spans {secrets.SPANS}"))
     assert {r.doc_id: r.n_assign for r in secrets.report(docs, ledger).collect()} == {1: 0, 2: 0}
+    again = spark.createDataFrame([(i, "token=abcdefgh1") for i in range(20)], "doc_id long, text string")
+    fresh = secrets.Ledger(spark, f"file://{tmp_path}/other")
+    assert {r.n_assign for r in secrets.report(again, fresh).collect()} == {1}
+    assert fresh.read().count() == 1  # the second version holds nothing that the first has not shown
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
